@@ -97,19 +97,25 @@ def balanced_draws(
     ).filter(F.col("_k") > 1)
     sizes = broadcast_if_small(sizes, MAX_STRATA)
     wide = F.lit(2**52).cast("decimal(20,0)")
+
+    def scaled(draw_seed, size):
+        """The hash of the draw, scaled to a whole number below ``size``."""
+        hashed = _uniform(F.col("draw"), draw_seed) * F.col(size).cast("decimal(18,0)")
+        return F.call_function("div", hashed, wide)
+
     k = sizes.agg(F.max("_k").alias("_k"))
     slots = (
         df.select(F.col(key).alias("draw"))
         .crossJoin(F.broadcast(k))  # one row
         .withColumn(
             "_no",
-            F.floor(_uniform(F.col("draw"), f"{seed}-bucket") * F.col("_k") / wide).cast("int"),
+            scaled(f"{seed}-bucket", "_k").cast("int"),
         )
         .drop("_k")
         .join(sizes.drop("_k"), "_no")
         .withColumn(
             "_rank",
-            F.floor(_uniform(F.col("draw"), f"{seed}-row") * F.col("_n") / wide).cast("long") + 1,
+            scaled(f"{seed}-row", "_n") + 1,
         )
         .select("draw", *bucket, "_rank")
     )
