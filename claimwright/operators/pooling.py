@@ -61,27 +61,20 @@ def masked_pool_rows(vecs, mask, size: int):
 def masked_softmax(df: DataFrame, group: list[str], score: str, mask: str) -> DataFrame:
     """Add ``alpha``: softmax of the scores over the masked rows of each group.
 
-    Peak and total come from one aggregate: partial sums are kept relative to a
-    score bucket, so no second pass over the rows is needed. The weights join
-    back against one row per group, broadcast if those are few.
+    Sums are first kept per whole-number step of the score, relative to that
+    step, so the peak need not be known yet and the rows are aggregated once.
+    The weights join back against one row per group, broadcast if those are few.
     """
     real = df.filter(F.col(mask) > 0)
     step = F.floor(F.col(score)).alias("_step")
     partial = real.groupBy(*group, step).agg(
         F.sum(F.exp(F.col(score) - F.floor(F.col(score)))).alias("_sum")
     )
-    peaks = partial.groupBy(*group).agg(
-        F.max("_step").alias("_peak"),
-        F.collect_list(F.struct("_step", "_sum")).alias("_steps"),
-    )
-    totals = peaks.select(
-        *group,
-        "_peak",
-        F.aggregate(
-            F.array_sort("_steps"),
-            F.lit(0.0),
-            lambda acc, s: acc + s["_sum"] * F.exp(s["_step"] - F.col("_peak")),
-        ).alias("_total"),
+    peaks = partial.groupBy(*group).agg(F.max("_step").alias("_peak"))
+    totals = (
+        partial.join(peaks, group)
+        .groupBy(*group, "_peak")
+        .agg(F.sum(F.col("_sum") * F.exp(F.col("_step") - F.col("_peak"))).alias("_total"))
     )
     totals = broadcast_if_small(totals, MAX_GROUPS)
     alpha = F.when(
