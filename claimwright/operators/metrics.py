@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from claimwright import constants as K
 from claimwright.functions import maths as M
 
-DOMAIN = F.when(F.col("has_meta") == 1, "political").otherwise("health")
+
+def domain_of(flag):
+    return F.when(flag == 1, "political").otherwise("health")
 
 
 def accuracy(df: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def macro_f1(df: DataFrame) -> DataFrame:
 
 def domain_report(df: DataFrame) -> DataFrame:
     """Rows, accuracy and macro-F1 overall and per domain; absent domains are left out."""
-    cells = confusion(df.withColumn("domain", DOMAIN), ["domain"])
+    cells = confusion(df.withColumn("domain", domain_of(F.col("has_meta"))), ["domain"])
     cells = cells.select(
         F.explode(F.array("domain", F.lit("overall"))).alias("domain"), "label", "pred", "n"
     )

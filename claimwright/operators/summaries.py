@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from claimwright import constants as K
 from claimwright.functions import concepts as C, labels as L, text as T
 
-_ALL = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _all_rows():
+    """Frame over a whole small table: one row per class."""
+    return Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def _share(part, whole, digits: int):
@@ -17,7 +20,7 @@ def _share(part, whole, digits: int):
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """Count and percentage per label, largest first, ties by label."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(_ALL)  # over one row per label
+    total = F.sum("n").over(_all_rows())  # over one row per label
     return counts.withColumn("percent", F.round(F.col("n") * 100 / total, 2)).orderBy(
         F.desc("n"), label
     )
@@ -40,7 +43,7 @@ def binary_distribution(df: DataFrame, binary: str = "binary_label") -> DataFram
 def class_weights(df: DataFrame, label: str = "binary_label") -> DataFrame:
     """Balanced weight ``n / (k * n_c)`` per class present."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    weight = F.sum("n").over(_ALL) / (F.count("*").over(_ALL) * F.col("n"))
+    weight = F.sum("n").over(_all_rows()) / (F.count("*").over(_all_rows()) * F.col("n"))
     return counts.withColumn("weight", weight)
 
 

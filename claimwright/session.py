@@ -68,3 +68,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     if fixed.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(fixed)
     return fixed
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan with fewer tasks than cores out over the cores, by key.
+
+    A small file with one row group is one task, and text work is heavy per row.
+    A scan that has enough tasks, as any large one does, is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)

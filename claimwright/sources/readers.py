@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from claimwright import schemas
 from claimwright.functions import labels as L
-from claimwright.session import broadcast_if_small
+from claimwright.session import broadcast_if_small, settle
 
 MAX_BLOCKS = 2_000_000
 # Parts of a snapshot file name
@@ -21,15 +21,19 @@ def with_row_id(df: DataFrame, file_order, columns: list[str]) -> DataFrame:
     Within one block of a file the generated ids rise line by line, so the
     position in the block is the distance to the block's smallest id. Adding the
     rows of all earlier blocks gives a dense number that does not depend on how
-    the blocks are packed into tasks, without moving a row. ``df`` must be a
-    scan with ``_metadata``, not yet filtered.
+    the blocks are packed into tasks, without a shuffle. The scan is stored
+    first: how a file is cut into blocks can change between two reads when
+    executors come and go. ``df`` must be a scan with ``_metadata``, not yet
+    filtered.
     """
-    rows = df.select(
-        *columns,
-        file_order.alias("_file"),
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
+    rows = settle(
+        df.select(
+            *columns,
+            file_order.alias("_file"),
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_at"),
+        )
     )
     blocks = rows.groupBy("_file", "_path", "_block").agg(
         F.min("_at").alias("_from"), F.count("*").alias("_n")
