@@ -507,7 +507,7 @@ def balanced_resample(spark, sf):
     "balanced_random_draws",
     f"""WITH {_BUCKETS_SQL}, ranked AS (
       SELECT *, row_number() OVER (PARTITION BY has_meta, label ORDER BY md5(row_id || '|42-rank'), row_id) AS rk FROM rows_in),
-    sizes AS (SELECT has_meta, label, count(*) AS n, row_number() OVER (ORDER BY has_meta, label) - 1 AS no FROM rows_in GROUP BY ALL),
+    sizes AS (SELECT *, row_number() OVER (ORDER BY has_meta, label) - 1 AS no FROM (SELECT has_meta, label, count(*) AS n FROM rows_in GROUP BY ALL)),
     draws AS (SELECT row_id AS draw, CAST('0x' || substr(md5(row_id || '|42-bucket'), 1, 13) AS HUGEINT) * (SELECT count(*) FROM sizes) // 4503599627370496 AS no,
       CAST('0x' || substr(md5(row_id || '|42-row'), 1, 13) AS HUGEINT) AS u FROM rows_in)
     SELECT d.draw, r.row_id, r.has_meta, r.label FROM draws d JOIN sizes s ON d.no = s.no
