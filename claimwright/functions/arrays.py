@@ -7,6 +7,15 @@ from pyspark.sql import Column, functions as F
 from claimwright import constants as K
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A lambda that mentions an outer expression computes it again for every
+    element; a lambda variable is computed once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def head(tokens: Column, length: int | Column) -> Column:
     """The first ``length`` items."""
     length = F.lit(length) if isinstance(length, int) else length
@@ -43,11 +52,12 @@ def channel_mask(tags: Column, channel: str) -> Column:
 
 def project_mask(word_mask: Column, word_index: Column) -> Column:
     """Word mask seen from sub-word slots; slots without a word give 0."""
-    return F.transform(
-        word_index,
-        lambda w: F.when(
-            (w >= 0) & (w < F.size(word_mask)), F.get(word_mask, w)
-        ).otherwise(F.lit(0)),
+    return let(
+        word_mask,
+        lambda m: F.transform(
+            word_index,
+            lambda w: F.when((w >= 0) & (w < F.size(m)), F.get(m, w)).otherwise(F.lit(0)),
+        ),
     )
 
 
@@ -101,15 +111,22 @@ def words_kept(word_index: Column) -> Column:
 
 def masked_softmax(scores: Column, mask: Column) -> Column:
     """Softmax over the masked positions of a row; all zeros when none is masked."""
-    pairs = F.arrays_zip(scores.alias("s"), mask.alias("m"))
-    peak = F.array_max(F.transform(F.filter(pairs, lambda z: z["m"] > 0), lambda z: z["s"]))
-    raw = F.transform(
-        pairs, lambda z: F.when(z["m"] > 0, F.exp(z["s"] - peak)).otherwise(F.lit(0.0))
-    )
-    total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(
-        has_concept(mask), F.transform(raw, lambda x: x / total)
-    ).otherwise(F.transform(scores, lambda _: F.lit(0.0)))
+    gated = F.zip_with(scores, mask, lambda s, m: F.when(m > 0, s))
+
+    def weigh(g: Column) -> Column:
+        return let(
+            F.array_max(g),
+            lambda peak: F.transform(g, lambda s: F.coalesce(F.exp(s - peak), F.lit(0.0))),
+        )
+
+    def share(raw: Column) -> Column:
+        return let(
+            F.greatest(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x), F.lit(1e-300)),
+            lambda total: F.transform(raw, lambda x: x / total),
+        )
+
+    # With nothing masked every weight is 0, and the floor keeps 0 / 0 out.
+    return let(let(gated, weigh), share)
 
 
 def weighted_context(weights: Column, values: Column) -> Column:

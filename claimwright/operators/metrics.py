@@ -30,14 +30,17 @@ def class_scores(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     A ratio with a zero denominator is 0.
     """
     by = by or []
-    hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
     zero = F.lit(0).cast("long")
+    hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(zero)
     sides = F.array(
         F.struct(
             F.col("label").alias("cls"), F.col("n").alias("support"),
             zero.alias("predicted"), hit.alias("tp"),
         ),
-        F.struct(F.col("pred"), zero, F.col("n"), zero),
+        F.struct(
+            F.col("pred").alias("cls"), zero.alias("support"),
+            F.col("n").alias("predicted"), zero.alias("tp"),
+        ),
     )
     sums = (
         cells.select(*by, F.inline(sides))

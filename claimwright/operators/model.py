@@ -163,9 +163,13 @@ def faithfulness(
     full = score_rows(model, df, tokens, meta).select(
         "row_id", F.col("pred").alias("_pred"), F.col("conf").alias("_full")
     )
+    both = F.col(tokens), F.col(tags)
+    lists = {
+        "sufficiency": A.keep_concept_tokens(*both),
+        "comprehensiveness": A.drop_concept_tokens(*both),
+    }
     variants = F.array(
-        F.struct(F.lit("sufficiency").alias("variant"), A.keep_concept_tokens(F.col(tokens), F.col(tags)).alias("t")),
-        F.struct(F.lit("comprehensiveness"), A.drop_concept_tokens(F.col(tokens), F.col(tags))),
+        *[F.struct(F.lit(name).alias("variant"), c.alias("t")) for name, c in lists.items()]
     )
     long = df.withColumn("_v", F.explode(variants)).withColumns(
         {"variant": F.col("_v.variant"), tokens: F.col("_v.t")}

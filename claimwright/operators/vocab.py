@@ -47,11 +47,14 @@ def fit_token_vocab(
 def vocab_params(vocab: DataFrame, min_count: int = K.VOCAB_MIN_COUNT) -> DataFrame:
     """Key/value description; the size counts the two reserved ids."""
     size = vocab.agg((F.count("*") + 2).cast("string").alias("size"))
+    facts = {
+        "vocab_size": F.col("size"),
+        "min_freq": F.lit(str(min_count)),
+        "pad_token": F.lit("[PAD]"),
+        "unk_token": F.lit("[UNK]"),
+    }
     entries = F.array(
-        F.struct(F.lit("vocab_size").alias("key"), F.col("size").alias("value")),
-        F.struct(F.lit("min_freq"), F.lit(str(min_count))),
-        F.struct(F.lit("pad_token"), F.lit("[PAD]")),
-        F.struct(F.lit("unk_token"), F.lit("[UNK]")),
+        *[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in facts.items()]
     )
     return size.select(F.inline(entries))
 
