@@ -48,9 +48,8 @@ def token_key(token: Column) -> Column:
     return F.btrim(F.lower(token), F.lit("'`\""))
 
 
-def token_class(token: Column, lexicon: Lexicon) -> Column:
+def token_class(token: Column, key: Column, lexicon: Lexicon) -> Column:
     """Cue type plus 0, 10 or 20 for content, boundary and skip tokens."""
-    key = token_key(token)
     cue = (
         F.when(key.isin(list(lexicon.emotion)), EMOTION)
         .when(
@@ -70,7 +69,9 @@ def token_class(token: Column, lexicon: Lexicon) -> Column:
 def concept_codes(tokens: Column, lexicon: Lexicon | None = None) -> Column:
     """``cue * 10 + reach`` per token, reach being the type of the cue that covers it."""
     lexicon = lexicon or Lexicon()
-    classes = F.transform(tokens, lambda t: token_class(t, lexicon))
+    # The key goes through a lambda variable so that it is computed once per token.
+    keyed = F.transform(tokens, lambda t: F.struct(t.alias("t"), token_key(t).alias("k")))
+    classes = F.transform(keyed, lambda z: token_class(z["t"], z["k"], lexicon))
     none = F.lit(0)
 
     def step(acc: Column, cls: Column) -> Column:

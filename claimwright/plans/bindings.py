@@ -344,7 +344,7 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESULTS_SQL = """results AS (
   SELECT CAST(CASE WHEN o_orderstatus = 'O' THEN 3 ELSE 4 END AS INT) AS phase,
-    CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'frozen' ELSE 'tuned' END || '_' ||
+    CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'frozen' ELSE 'tuned' END || '_' ||
     CASE WHEN o_orderpriority < '3' THEN 'single' ELSE 'merged' END AS setting,
     CAST(41 + o_custkey % 3 AS INT) AS seed, round(avg(o_totalprice) / 1000000, 6) AS test_macro_f1
   FROM orders GROUP BY ALL)"""
@@ -352,7 +352,7 @@ RESULTS_SQL = """results AS (
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    tuned = F.when(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp"), "frozen").otherwise("tuned")
+    tuned = F.when(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"), "frozen").otherwise("tuned")
     merged = F.when(F.col("o_orderpriority") < "3", "single").otherwise("merged")
     return o.groupBy(
         F.when(F.col("o_orderstatus") == "O", 3).otherwise(4).alias("phase"),

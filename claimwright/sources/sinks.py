@@ -14,7 +14,14 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt == "csv":
         arrays = [f.name for f in df.schema if isinstance(f.dataType, ArrayType)]
         df = df.withColumns({c: F.to_json(c) for c in arrays}) if arrays else df
-        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        (
+            df.write.mode("overwrite")
+            .option("header", True)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
     else:
         df.write.mode("overwrite").format(fmt).save(path)
 
