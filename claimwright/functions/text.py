@@ -236,15 +236,7 @@ def strip_verdict_prefix(text: Column, prefixes: list[str] | None = None) -> Col
     return text
 
 
-# -- named profiles ---------------------------------------------------------
-
-
-def clean_political(text: Column, exact_html: bool = True) -> Column:
-    """Full cleaning: markup, NFKC, contractions, URL, emoji, caps, numbers, marks, case."""
-    text = html_to_text(text) if exact_html else strip_html(text)
-    text = expand_contractions(nfkc(text))
-    text = name_emojis(mask_urls(text))
-    return F.lower(collapse_marks(mask_numbers(mark_allcaps(text))))
+# -- steps every cleaning profile shares --------------------------------------
 
 
 def clean_basic(text: Column) -> Column:
@@ -252,19 +244,6 @@ def clean_basic(text: Column) -> Column:
     return F.lower(collapse_marks(mask_numbers(mark_allcaps(mask_urls(text)))))
 
 
-def clean_health(text: Column) -> Column:
-    """Verdict prefixes out, then the shared steps, trimmed."""
-    return trim_space(clean_basic(strip_verdict_prefix(text)))
-
-
-def normalize_political(clean: Column) -> Column:
-    return collapse_punct(collapse_space(expand_contractions(nfkc(clean))))
-
-
-def normalize_health(clean: Column) -> Column:
-    return collapse_space(expand_contractions(nfkc(clean)))
-
-
 # -- tokens -----------------------------------------------------------------
 
 

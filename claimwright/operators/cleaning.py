@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimwright import constants as K
-from claimwright.functions import labels as L
+from claimwright.functions import labels as L, text as T
 
 
 def project_as(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -107,3 +107,65 @@ def union_common(a: DataFrame, b: DataFrame) -> tuple[DataFrame, dict[str, list[
         "second": sorted(set(b.columns) - set(common)),
     }
     return a.select(*common).unionByName(b.select(*common)), left_out
+
+
+# -- text profiles ------------------------------------------------------------
+#
+# The steps that may leave the JVM look at their input more than once ("does the
+# row need this, and if not keep it"). They are chained column by column, so that
+# each result is computed once instead of being copied into the next expression.
+
+
+def _chain(df: DataFrame, source: str, out: str, steps: list) -> DataFrame:
+    value = F.col(source)
+    for step in steps:
+        df = df.withColumn("_text", step(value))
+        value = F.col("_text")
+    return df.withColumn(out, value).drop("_text")
+
+
+def clean_political(
+    df: DataFrame, source: str = "statement", out: str = "clean_statement", exact_html: bool = True
+) -> DataFrame:
+    """Markup, NFKC, contractions, URLs, emoji, capitals, numbers, marks, case."""
+    return _chain(
+        df,
+        source,
+        out,
+        [
+            T.html_to_text if exact_html else T.strip_html,
+            T.nfkc,
+            T.expand_contractions,
+            T.mask_urls,
+            T.name_emojis,
+            lambda c: F.lower(T.collapse_marks(T.mask_numbers(T.mark_allcaps(c)))),
+        ],
+    )
+
+
+def clean_health(
+    df: DataFrame, source: str = "statement", out: str = "clean_statement"
+) -> DataFrame:
+    """Verdict prefixes out, then the steps every profile shares, trimmed; JVM only."""
+    return df.withColumn(
+        out, T.trim_space(T.clean_basic(T.strip_verdict_prefix(F.col(source))))
+    )
+
+
+def normalize_political(
+    df: DataFrame, source: str = "clean_statement", out: str = "normalized_text"
+) -> DataFrame:
+    """NFKC, contractions, one blank for white space, runs of punctuation."""
+    return _chain(
+        df,
+        source,
+        out,
+        [T.nfkc, T.expand_contractions, lambda c: T.collapse_punct(T.collapse_space(c))],
+    )
+
+
+def normalize_health(
+    df: DataFrame, source: str = "clean_statement", out: str = "normalized_text"
+) -> DataFrame:
+    """As the political profile, but runs of punctuation stay."""
+    return _chain(df, source, out, [T.nfkc, T.expand_contractions, T.collapse_space])

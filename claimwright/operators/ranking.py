@@ -127,9 +127,9 @@ def at_or_before(cut: str, key: str, seed) -> Column:
 def frequency_rank(counts: DataFrame, value: str, out: str = "rank", slices: int = 1024) -> DataFrame:
     """Rank values by ``cnt`` descending, ties by ``first`` ascending, from 1.
 
-    Buckets follow the order itself: the exact count up to 1,023 and a log scale
-    above, then the position range of ``first``. Most values of a large
-    vocabulary share a small count, and the ranges are what splits those up.
+    Buckets follow the order itself: steps of a log scale for counts from 1,024,
+    the exact count and the position range of ``first`` below. Most values of a
+    large vocabulary share a small count, and the ranges are what splits those up.
     The offsets table holds at most a few million rows whatever the data size.
     """
     span = counts.agg(F.min("first").alias("_lo"), F.max("first").alias("_hi"))
@@ -139,7 +139,12 @@ def frequency_rank(counts: DataFrame, value: str, out: str = "rank", slices: int
             "_c": F.when(F.col("cnt") < 1024, F.col("cnt")).otherwise(
                 1024 + F.floor(64 * F.log2(F.col("cnt") / 1024))
             ),
-            "_f": F.floor((F.col("first") - F.col("_lo")) / width).cast("int"),
+            # A log step mixes counts, so it must not be cut by position.
+            "_f": F.when(
+                F.col("cnt") < 1024, F.floor((F.col("first") - F.col("_lo")) / width)
+            )
+            .otherwise(0)
+            .cast("int"),
         }
     )
     sizes = rows.groupBy("_c", "_f").agg(F.count("*").alias("_n"))

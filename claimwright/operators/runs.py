@@ -12,15 +12,15 @@ RUN = ["tag", "seed"]
 def seed_summary(results: DataFrame, by: str = "tag", value: str = "test_macro_f1") -> DataFrame:
     """Mean, sample deviation and number of runs per tag."""
     return results.groupBy(by).agg(
-        F.round(F.avg(value), 6).alias("mean"),
-        F.round(F.stddev_samp(value), 6).alias("std"),
+        F.round(F.avg(value), 8).alias("mean"),
+        F.round(F.stddev_samp(value), 8).alias("std"),
         F.count(value).alias("n"),
     )
 
 
 def ablation_matrix(results: DataFrame, rows: str, columns: str, values: list[str], value: str = "test_macro_f1") -> DataFrame:
     """Mean score with one row per phase and one column per setting."""
-    return results.groupBy(rows).pivot(columns, values).agg(F.round(F.avg(value), 6))
+    return results.groupBy(rows).pivot(columns, values).agg(F.round(F.avg(value), 8))
 
 
 def best_epoch(epochs: DataFrame, run: list[str] | None = None, score: str = "val_macro_f1") -> DataFrame:

@@ -12,9 +12,12 @@ from claimwright.operators.ranking import (
     hash_order,
     stratum_cuts,
 )
-from claimwright.session import broadcast_if_small
+from claimwright.session import broadcast_if_small, settle
 
 BUCKET = ["has_meta", "label"]
+COPY_BLOCK = 1_000
+SMALL_BUCKET = 20_000
+MAX_SMALL_ROWS = 200_000
 
 
 def bucket_sizes(df: DataFrame, domains=((1, "political"), (0, "health"))) -> DataFrame:
@@ -44,13 +47,21 @@ def balance_weights(df: DataFrame, bucket: list[str] | None = None) -> DataFrame
 
 
 def balanced_exact(
-    df: DataFrame, key: str = "row_id", bucket: list[str] | None = None, seed=K.SEED
+    df: DataFrame,
+    key: str = "row_id",
+    bucket: list[str] | None = None,
+    seed=K.SEED,
+    block: int = COPY_BLOCK,
 ) -> DataFrame:
     """As many rows as the input, shared evenly between the buckets.
 
     Each row is repeated ``floor(target / n)`` times and the first rows in hash
     order once more, so that the totals come out exactly. Copies are numbered in
     ``copy``. With fewer than two buckets the rows come back once each.
+
+    Rows are copied where they are. Only a row that is due more than ``block``
+    copies, because its bucket is tiny, is first cut into blocks of copies that
+    are dealt out over the tasks.
     """
     bucket = bucket or BUCKET
     n, total, k, no = (F.col(c) for c in ("n", "total", "strata_count", "stratum_no"))
@@ -60,14 +71,32 @@ def balanced_exact(
     copies = F.when(k < 2, F.lit(1)).otherwise(
         F.floor(target / n) + at_or_before("_spare", key, seed).cast("long")
     )
-    # ``sequence`` is built only for rows that are kept: sequence(1, 0) would count down.
-    return (
+    due = (
         df.join(cuts, bucket)
-        .withColumn("_copies", copies.cast("int"))
-        .filter(F.col("_copies") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("n", "total", "strata_count", "stratum_no", "_spare", "_copies")
+        .withColumn("_copies", copies.cast("long"))
+        .drop("n", "total", "strata_count", "stratum_no", "_spare")
+    )
+    # A filter first: sequence(1, 0) would count down.
+    few = due.filter(F.col("_copies").between(1, block)).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    )
+    last_block = F.floor((F.col("_copies") - 1) / block)
+    many = (
+        due.filter(F.col("_copies") > block)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
+        .repartition(key, "_block")
+        .withColumn(
+            "copy",
+            F.explode(
+                F.sequence(
+                    F.col("_block") * block + 1,
+                    F.least((F.col("_block") + 1) * block, F.col("_copies")),
+                )
+            ),
+        )
+        .drop("_block")
     )
+    return few.unionByName(many).drop("_copies")
 
 
 def _uniform(key, seed):
@@ -76,17 +105,21 @@ def _uniform(key, seed):
 
 
 def balanced_draws(
-    df: DataFrame, key: str = "row_id", bucket: list[str] | None = None, seed=K.SEED
+    df: DataFrame,
+    key: str = "row_id",
+    bucket: list[str] | None = None,
+    seed=K.SEED,
+    small: int = SMALL_BUCKET,
 ) -> DataFrame:
     """One draw with replacement per input row, every bucket equally likely.
 
     Each input row stands for one draw: its hash picks a bucket and a rank in
-    that bucket, and a join on (bucket, rank) fetches the drawn row. The join
-    key is spread evenly however uneven the buckets are. Returns no rows with
-    fewer than two buckets.
+    that bucket, and a join on (bucket, rank) fetches the drawn row. A row of a
+    tiny bucket is drawn very often, so the rows of small buckets are broadcast;
+    those of large ones are drawn rarely each, and their join key spreads evenly.
+    Returns no rows with fewer than two buckets.
     """
     bucket = bucket or BUCKET
-    ranked = bucketed_rank(df, bucket, key, f"{seed}-rank", out="_rank")
     sizes = df.groupBy(*bucket).agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_no", F.row_number().over(Window.orderBy(*bucket)) - 1)
     sizes = sizes.withColumn(
@@ -117,6 +150,14 @@ def balanced_draws(
             "_rank",
             scaled(f"{seed}-row", "_n") + 1,
         )
-        .select("draw", *bucket, "_rank")
+        .select("draw", *bucket, "_rank", "_n")
+    )
+    ranked = bucketed_rank(df, bucket, key, f"{seed}-rank", out="_rank")
+    ranked = settle(ranked.join(sizes.select(*bucket, "_n"), bucket))
+    on = [*bucket, "_rank"]
+    tiny = broadcast_if_small(ranked.filter(F.col("_n") <= small).drop("_n"), MAX_SMALL_ROWS)
+    often = slots.filter(F.col("_n") <= small).drop("_n").join(tiny, on)
+    rarely = slots.filter(F.col("_n") > small).drop("_n").join(
+        ranked.filter(F.col("_n") > small).drop("_n"), on
     )
-    return slots.join(ranked, [*bucket, "_rank"]).drop("_rank")
+    return often.unionByName(rarely).drop("_rank")

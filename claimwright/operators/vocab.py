@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from claimwright import constants as K
 from claimwright.functions.arrays import pad
 from claimwright.operators.ranking import frequency_rank
+from claimwright.session import settle
 
 PAD_ID, UNKNOWN_ID = 0, 1
 HOT_TOKENS = 100_000
@@ -38,7 +39,8 @@ def fit_token_vocab(
     df: DataFrame, tokens: str, key: str = "row_id", min_count: int = K.VOCAB_MIN_COUNT
 ) -> DataFrame:
     """``(token, cnt, idx)``: frequent tokens first, ties by first occurrence, ids from 2."""
-    counts = token_counts(df, tokens, key).filter(F.col("cnt") >= min_count)
+    # Stored, because the ranking looks at the counts three times.
+    counts = settle(token_counts(df, tokens, key).filter(F.col("cnt") >= min_count))
     return frequency_rank(counts, "token").select(
         "token", "cnt", (F.col("rank") + 1).cast("int").alias("idx")
     )

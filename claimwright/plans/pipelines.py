@@ -14,7 +14,7 @@ from claimwright.session import settle
 def clean_claims(raw: DataFrame, exact_html: bool = True) -> DataFrame:
     """Required fields, sentinels, cleaned text, first copy of each cleaned text."""
     rows = cleaning.fill_missing(cleaning.drop_missing(raw))
-    clean = rows.withColumn("clean_statement", T.clean_political(F.col("statement"), exact_html))
+    clean = cleaning.clean_political(rows, exact_html=exact_html)
     return dedup.keep_first(clean, "clean_statement", ["row_id"])
 
 
@@ -27,7 +27,7 @@ def tag_claims(
     slicing gives the tags of every shorter one.
     """
     return (
-        clean.withColumn("normalized_text", T.normalize_political(F.col("clean_statement")))
+        cleaning.normalize_political(clean)
         .withColumn("tokens", T.tokenize(F.col("normalized_text")))
         .withColumn("truncated_tokens", A.head(F.col("tokens"), length))
         .withColumn("concept_tags", C.concept_tags(F.col("truncated_tokens"), lexicon))
@@ -67,10 +67,9 @@ def health_corpus(
     equal after cleaning.
     """
     rows = dedup.keep_first(cleaning.drop_missing(raw), "statement", ["row_id"])
-    clean = rows.withColumn("clean_statement", T.clean_health(F.col("statement")))
-    clean = dedup.keep_first(clean, "clean_statement", ["row_id"])
+    clean = dedup.keep_first(cleaning.clean_health(rows), "clean_statement", ["row_id"])
     tokens = (
-        clean.withColumn("normalized_text", T.normalize_health(F.col("clean_statement")))
+        cleaning.normalize_health(clean)
         .withColumn("tokens", T.tokenize(F.col("normalized_text")))
         .withColumn("truncated_tokens", A.head(F.col("tokens"), length))
     )

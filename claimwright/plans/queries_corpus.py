@@ -243,7 +243,7 @@ def cleaning_summary(spark, sf):
       round(avg(len(regexp_extract_all(n, '[^{B.SPACE}]+'))), 2) AS avg_len_after FROM m""",
 )
 def normalization_summary(spark, sf):
-    rows = kept(spark, sf).withColumn("normal", T.normalize_political(F.col("clean_statement")))
+    rows = cleaning.normalize_political(kept(spark, sf), out="normal")
     return summaries.normalization_summary(rows, "clean_statement", "normal")
 
 
@@ -497,7 +497,7 @@ def balance_weights(spark, sf):
         dense_rank() OVER (ORDER BY has_meta, label) AS no FROM rows_in),
     k AS (SELECT max(no) AS k FROM ranked),
     t AS (SELECT r.*, total // k + CASE WHEN no <= total % k THEN 1 ELSE 0 END AS target FROM ranked r, k)
-    SELECT row_id, has_meta, label, CAST(unnest(range(1, 1 + target // n + CASE WHEN rk <= target % n THEN 1 ELSE 0 END)) AS INT) AS copy FROM t""",
+    SELECT row_id, has_meta, label, CAST(unnest(range(1, 1 + target // n + CASE WHEN rk <= target % n THEN 1 ELSE 0 END)) AS BIGINT) AS copy FROM t""",
 )
 def balanced_resample(spark, sf):
     return sampling.balanced_exact(settle(buckets(spark, sf)))

@@ -125,7 +125,7 @@ def training_objective(spark, sf):
 
 @query(
     "seed_summary",
-    f"WITH {B.RESULTS_SQL} SELECT setting, round(avg(test_macro_f1), 6) AS mean, round(stddev_samp(test_macro_f1), 6) AS std, count(*) AS n FROM results GROUP BY setting",
+    f"WITH {B.RESULTS_SQL} SELECT setting, round(avg(test_macro_f1), 8) AS mean, round(stddev_samp(test_macro_f1), 8) AS std, count(*) AS n FROM results GROUP BY setting",
 )
 def seed_summary(spark, sf):
     return runs.seed_summary(B.results(spark, sf), by="setting")
@@ -136,7 +136,7 @@ _SETTINGS = ["frozen_single", "frozen_merged", "tuned_single", "tuned_merged"]
 
 @query(
     "ablation_matrix",
-    f"WITH {B.RESULTS_SQL} SELECT phase, {', '.join(f'round(avg(test_macro_f1) FILTER (setting = {chr(39)}{x}{chr(39)}), 6) AS {x}' for x in _SETTINGS)} FROM results GROUP BY phase",
+    f"WITH {B.RESULTS_SQL} SELECT phase, {', '.join(f'round(avg(test_macro_f1) FILTER (setting = {chr(39)}{x}{chr(39)}), 8) AS {x}' for x in _SETTINGS)} FROM results GROUP BY phase",
 )
 def ablation_matrix(spark, sf):
     return runs.ablation_matrix(B.results(spark, sf), "phase", "setting", _SETTINGS)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimwright.functions import concepts as C, text as T
-from claimwright.operators import concept_rows, vocab
+from claimwright.operators import cleaning, concept_rows, vocab
 from claimwright.plans import bindings as B
 from claimwright.plans.registry import query
 
@@ -179,9 +179,9 @@ def clean_shared_steps(spark, sf):
 )
 def clean_political_profile(spark, sf):
     # Markup, emoji and contractions do not occur here, so the shared steps say it all.
-    docs = B.table(spark, sf, "documents")
-    clean = docs.select("doc_id", T.clean_political(F.col("text")).alias("clean"))
-    return clean.withColumn("normal", T.normalize_political(F.col("clean")))
+    docs = B.table(spark, sf, "documents").select("doc_id", "text")
+    clean = cleaning.clean_political(docs, "text", "clean")
+    return cleaning.normalize_political(clean, "clean", "normal").drop("text")
 
 
 @query(
@@ -190,10 +190,8 @@ def clean_political_profile(spark, sf):
     FROM (SELECT row_id, {B.sql_trim_space(B.sql_clean_basic(B.sql_strip_prefix('statement')))} AS clean FROM headlines)""",
 )
 def clean_health_profile(spark, sf):
-    rows = B.headlines(spark, sf).select(
-        "row_id", T.clean_health(F.col("statement")).alias("clean")
-    )
-    return rows.withColumn("normal", T.normalize_health(F.col("clean")))
+    clean = cleaning.clean_health(B.headlines(spark, sf), out="clean")
+    return cleaning.normalize_health(clean, "clean", "normal").select("row_id", "clean", "normal")
 
 
 @query(

@@ -9,7 +9,7 @@ from claimwright import schemas
 from claimwright.functions import labels as L
 from claimwright.session import broadcast_if_small, settle
 
-MAX_BLOCKS = 2_000_000
+MAX_BLOCKS = 500_000
 # Parts of a snapshot file name
 SNAPSHOT_SUFFIX = "COVID-19.csv"
 SNAPSHOT_TEXT = "title"

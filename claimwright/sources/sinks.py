@@ -29,16 +29,16 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def write_variants(df: DataFrame, path: str) -> None:
     """All lengths and splits in one write, one folder per (L, split).
 
-    Rows are spread over the partitions by length, split and a slice of the key,
-    so a folder gets several files of one task each instead of one file per task,
-    and no folder depends on a single task.
+    Rows are gathered by folder so that a task does not open a file in each of
+    them; the rebalance lets adaptive execution cut a folder of any size into
+    tasks of the advisory size, and join small ones.
     """
-    spread = F.pmod(F.xxhash64("row_id"), F.lit(32))
-    df.repartition("L", "split", spread).write.mode("overwrite").partitionBy("L", "split").parquet(path)
+    folders = df.hint("rebalance", F.col("L"), F.col("split"))
+    folders.write.mode("overwrite").partitionBy("L", "split").parquet(path)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    df.hint("rebalance", F.col("split")).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def fingerprint(df: DataFrame, key: str, width: str | None = None) -> DataFrame:

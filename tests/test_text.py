@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimwright.functions import arrays as A, labels as L, text as T
+from claimwright.operators import cleaning
 
 
 @pytest.mark.parametrize(
@@ -28,13 +29,29 @@ from claimwright.functions import arrays as A, labels as L, text as T
         (T.strip_html, "<p>a &amp; b<!-- x --><script>var t='</p>';</script></p> 1 < 2",
          "a & b 1 < 2"),
         (T.html_to_text, "<p>a &amp; b<!-- x --><script>1<2</script></p>&#233;", "a & bé"),
-        (T.clean_health, "HOAX!  BIG news, 3 cases!!", "<allcaps> big news, <num> cases!"),
     ],
 )
 def test_text_steps(one, fn, given, expected):
     assert one(fn, given) == expected
 
 
+def test_profiles(spark):
+    rows = spark.createDataFrame(
+        [("<b>I can't</b> see http://x.co, 3 NEW!! \U0001F600",), ("plain words",)], "statement string"
+    )
+    out = [r[0] for r in cleaning.clean_political(rows).select("clean_statement").collect()]
+    assert out == [
+        "i cannot see <<allcaps> url> <num> <allcaps> new!  <emo_grinning_face> ", "plain words",
+    ]
+    rows = spark.createDataFrame([("HOAX!  BIG news, 3 cases!! it's.. ",)], "statement string")
+    row = cleaning.normalize_health(cleaning.clean_health(rows)).first()
+    assert row["clean_statement"] == "<allcaps> big news, <num> cases! it's.."
+    assert row["normalized_text"] == "<allcaps> big news, <num> cases! it is.."
+    assert cleaning.normalize_political(cleaning.clean_health(rows)).first()["normalized_text"] == (
+        "<allcaps> big news, <num> cases! it is."
+    )
+
+
 def test_emoji_count(one):
     assert one(T.emoji_count, "a \U0001F600\U0001F600 b ☀") == 3
 
