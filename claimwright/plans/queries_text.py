@@ -56,11 +56,14 @@ for _head, _tail, _full in (
     ("h", "e''s", "e is"), ("s", "he''s", "he is"), ("t", "hat''s", "hat is"),
     ("t", "here''s", "here is"), ("w", "hat''s", "hat is"), ("w", "ho''s", "ho is"),
 ):
-    _FULL_SQL = (
-        rf"regexp_replace({_FULL_SQL}, '(?i)(^|[^{B.WORD}])({_head}){_tail}([^{B.WORD}]|$)', '\1\2{_full}\3', 'g')"
-    )
+    # Twice, since a match takes the character that the next one needs as its border.
+    for _ in range(2):
+        _FULL_SQL = (
+            rf"regexp_replace({_FULL_SQL}, '(?i)(^|[^{B.WORD}])({_head}){_tail}([^{B.WORD}]|$)', '\1\2{_full}\3', 'g')"
+        )
 for _suffix, _full in (("n''t", " not"), ("''re", " are"), ("''ll", " will"), ("''ve", " have")):
-    _FULL_SQL = rf"regexp_replace({_FULL_SQL}, '(?i)(\pL){_suffix}([^{B.WORD}]|$)', '\1{_full}\2', 'g')"
+    for _ in range(2):
+        _FULL_SQL = rf"regexp_replace({_FULL_SQL}, '(?i)(\pL){_suffix}([^{B.WORD}]|$)', '\1{_full}\2', 'g')"
 
 
 @query("contractions", f"SELECT doc_id, {_FULL_SQL} AS expanded FROM documents")
