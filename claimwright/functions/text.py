@@ -230,8 +230,9 @@ def strip_verdict_prefix(text: Column, prefixes: list[str] | None = None) -> Col
     """
     for _ in range(2):
         for prefix in prefixes or K.VERDICT_PREFIXES:
+            word = prefix.replace(r"\s", SPACE)
             text = F.regexp_replace(
-                text, rf"(?i)^[{SPACE}]*{prefix}[{SPACE}]*[:!\-][{SPACE}]*", ""
+                text, rf"(?i)^[{SPACE}]*{word}[{SPACE}]*[:!\-][{SPACE}]*", ""
             )
     return text
 

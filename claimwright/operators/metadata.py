@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from claimwright import constants as K
 from claimwright.functions import labels as L
 from claimwright.operators.cleaning import metadata_rows
+from claimwright.session import settle
 
 FIELDS = ["speaker", "subject", "context"]
 
@@ -19,10 +22,10 @@ def _category(field: str, csv_nulls: bool):
 
 
 def fit_vocabs(train: DataFrame, key: str = "row_id", top_k: dict | None = None, csv_nulls: bool = False) -> DataFrame:
-    """``(field, value, cnt, idx)`` for the three category fields, in one pass.
+    """``(field, value, cnt, idx)`` for the three category fields.
 
-    The group limit runs before the shuffle, so each task passes on at most as
-    many values per field as the largest vocabulary holds.
+    One pass counts the values of all fields; the few best of each are then
+    taken with a top-k, so no task ever sorts the values of a whole field.
     """
     top_k = top_k or K.TOP_K
     long = metadata_rows(train).select(
@@ -36,17 +39,18 @@ def fit_vocabs(train: DataFrame, key: str = "row_id", top_k: dict | None = None,
             )
         ),
     )
-    counts = long.groupBy("field", "value").agg(
-        F.count("*").alias("cnt"), F.min(key).alias("first")
-    )
-    best = Window.partitionBy("field").orderBy(F.desc("cnt"), "first")
-    limit = F.create_map(*[F.lit(x) for f in FIELDS for x in (f, top_k[f])])
-    return (
-        counts.withColumn("idx", F.row_number().over(best))
-        .filter(F.col("idx") <= max(top_k.values()))
-        .filter(F.col("idx") <= F.element_at(limit, F.col("field")))
-        .select("field", "value", "cnt", "idx")
+    counts = settle(
+        long.groupBy("field", "value").agg(F.count("*").alias("cnt"), F.min(key).alias("first"))
     )
+    rank = F.row_number().over(Window.orderBy(F.desc("cnt"), "first"))
+    parts = [
+        counts.filter(F.col("field") == f)
+        .orderBy(F.desc("cnt"), "first")
+        .limit(top_k[f])
+        .select("field", "value", "cnt", rank.alias("idx"))
+        for f in FIELDS
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fit_scaler(train: DataFrame) -> DataFrame:

@@ -45,12 +45,12 @@ def stratified_split(
 
 
 def split_leaks(df: DataFrame, key: str = "row_id") -> DataFrame:
-    """Keys that sit in more than one split; must be empty."""
-    return (
-        df.groupBy(key)
-        .agg(F.min("split").alias("first_split"), F.max("split").alias("last_split"))
-        .filter(F.col("first_split") != F.col("last_split"))
-    )
+    """Keys that sit in more than one split; must be empty.
+
+    The flags are numbers, so the aggregate keeps its hash form.
+    """
+    flags = [F.max((F.col("split") == s).cast("int")).alias(s) for s in SPLITS]
+    return df.groupBy(key).agg(*flags).filter(F.col("train") + F.col("val") + F.col("test") > 1)
 
 
 def length_variants(df: DataFrame, tokens: str, lengths: list[int] | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -98,11 +101,14 @@ def classify_snapshot(name):
     )
 
 
-def _glob(spark: SparkSession, pattern: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(str(s.getPath().toString()) for s in found or [])
+def _snapshot_paths(spark: SparkSession, folder: str) -> list[str]:
+    """Snapshot files of a folder by name; one may itself be a folder of part files."""
+    pattern = f"{folder.rstrip('/')}/*{SNAPSHOT_SUFFIX}"
+    try:
+        found = spark.read.text(pattern).inputFiles()
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no {pattern}") from e
+    return sorted({unquote(f[: f.index(SNAPSHOT_SUFFIX) + len(SNAPSHOT_SUFFIX)]) for f in found})
 
 
 def read_snapshots(spark: SparkSession, folder: str, text: str = SNAPSHOT_TEXT) -> DataFrame:
@@ -112,11 +118,8 @@ def read_snapshots(spark: SparkSession, folder: str, text: str = SNAPSHOT_TEXT)
     both what it holds and whether that is fake. Only headers are read on the
     driver, once per file; files with the same header share one scan.
     """
-    files = _glob(spark, f"{folder.rstrip('/')}/*{SNAPSHOT_SUFFIX}")
-    if not files:
-        raise FileNotFoundError(f"no *{SNAPSHOT_SUFFIX} in {folder}")
     by_header: dict[tuple, list[str]] = {}
-    for path in files:
+    for path in _snapshot_paths(spark, folder):
         header = tuple(spark.read.option("header", True).csv(path).columns)
         if text in header:
             by_header.setdefault(header, []).append(path)
@@ -136,6 +139,8 @@ def read_snapshots(spark: SparkSession, folder: str, text: str = SNAPSHOT_TEXT)
             .csv(paths)
         )
         scans.append(scan.select(F.col(text).alias("statement"), name.alias("source_file"), "_metadata"))
+    if not scans:
+        raise ValueError(f"no snapshot in {folder} has a column {text!r}")
     rows = scans[0]
     for scan in scans[1:]:
         rows = rows.unionByName(scan)
