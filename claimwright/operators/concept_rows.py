@@ -76,14 +76,19 @@ def tag_tokens(classified: DataFrame, key: str = "row_id", steps: int = 3) -> Da
     in_scope = (
         Window.partitionBy(key, "_segment").orderBy("_content").rangeBetween(-steps, -1)
     )
-    spreading = F.when(
-        F.col("cue").isin("NEGATION", "MODALITY"), F.struct(F.col("pos"), F.col("cue"))
+    # Position and type in one number: the smallest is the earliest cue.
+    spreading = F.when(F.col("cue") == "NEGATION", F.col("pos") * 2).when(
+        F.col("cue") == "MODALITY", F.col("pos") * 2 + 1
     )
-    reached = counted.withColumn(
-        "reach", F.when(F.col("kind") == "content", F.min(spreading).over(in_scope)["cue"])
+    reached = counted.withColumn("_from", F.min(spreading).over(in_scope)).withColumn(
+        "reach",
+        F.when(
+            (F.col("kind") == "content") & F.col("_from").isNotNull(),
+            F.when(F.col("_from") % 2 == 0, "NEGATION").otherwise("MODALITY"),
+        ),
     )
     tag = F.coalesce(F.col("cue"), F.concat("reach", F.lit("_SCOPE")), F.lit("O"))
-    return reached.withColumn("tag", tag).drop("_segment", "_content")
+    return reached.withColumn("tag", tag).drop("_segment", "_content", "_from")
 
 
 def tag_table(

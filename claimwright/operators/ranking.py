@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from claimwright.session import broadcast_if_small, settle
+from claimwright.session import has_at_most, settle
 
 MAX_STRATA = 10_000
 
@@ -31,7 +31,8 @@ def bucketed_rank(
 ) -> DataFrame:
     """Rank of every row in its stratum, ordered by ``(hash, key)``, from 1.
 
-    ``digits`` hex digits give ``16 ** digits`` buckets per stratum.
+    ``digits`` hex digits give ``16 ** digits`` buckets per stratum; whole rows
+    move here, so there are more of them than for cuts.
     """
     rows = _bucketed(df, key, seed, digits)
     sizes = rows.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))
@@ -50,19 +51,21 @@ def bucketed_rank(
 
 
 def stratum_cuts(
-    df: DataFrame, strata: list[str], key: str, seed, positions: dict[str, Column], digits: int = 4
+    df: DataFrame, strata: list[str], key: str, seed, positions: dict[str, Column], digits: int = 3
 ) -> DataFrame:
     """For each stratum, the ``(hash, key)`` of the row at each named position.
 
     ``positions`` are expressions over ``n`` (rows in the stratum), ``total``
     (rows overall), ``strata_count`` and ``stratum_no`` (from 1, in key order).
     Position 0 yields a null cut. The result has one row per stratum, with a
-    struct column per cut, and is broadcast if it is small.
+    struct column per cut, and is broadcast if it is small. Only keys and strata
+    are read, and 4,096 buckets per stratum keep the one that is sorted small.
     """
     rows = _bucketed(df.select(*strata, key), key, seed, digits)
     sizes = settle(rows.groupBy(*strata, "_b").agg(F.count("*").alias("_n")))
     # One row per stratum from here on, so a window over all of them is tiny.
     per_stratum = sizes.groupBy(*strata).agg(F.sum("_n").alias("n"))
+    few = has_at_most(per_stratum, MAX_STRATA)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per_stratum = per_stratum.withColumns(
         {
@@ -95,7 +98,8 @@ def stratum_cuts(
         )
         .select(*strata, "_b", "_before", "_cut")
     )
-    wanted = broadcast_if_small(wanted, MAX_STRATA * len(positions))
+    if few:  # one row per stratum and cut
+        wanted = F.broadcast(wanted)
     inside = Window.partitionBy(*strata, "_b", F.col("_cut.name")).orderBy("_h", key)
     found = (
         rows.join(wanted, [*strata, "_b"])
@@ -115,7 +119,8 @@ def stratum_cuts(
         )
     )
     facts = per_stratum.select(*strata, "n", "total", "strata_count", "stratum_no")
-    return broadcast_if_small(facts.join(found, strata, "left"), MAX_STRATA)
+    cuts = settle(facts.join(found, strata, "left"))
+    return F.broadcast(cuts) if few else cuts
 
 
 def at_or_before(cut: str, key: str, seed) -> Column:

@@ -14,8 +14,14 @@ HOT_TOKENS = 100_000
 
 
 def explode_tokens(df: DataFrame, tokens: str, key: str = "row_id", extra: list[str] | None = None) -> DataFrame:
-    """Long form ``(row_id, pos, token)``, positions from 0."""
-    return df.select(key, *(extra or []), F.posexplode(tokens).alias("pos", "token"))
+    """Long form ``(row_id, pos, token)``, positions from 0.
+
+    The outer form with a filter after it does the same as the plain one, but
+    keeps Spark from inferring a filter on the size of the list, which would
+    compute a derived list again below the explode.
+    """
+    rows = df.select(key, *(extra or []), F.posexplode_outer(tokens).alias("pos", "token"))
+    return rows.filter(F.col("pos").isNotNull())
 
 
 def token_counts(df: DataFrame, tokens: str, key: str = "row_id") -> DataFrame:

@@ -186,8 +186,12 @@ def attention_rows(scored: DataFrame, tokens: str = "truncated_tokens", tags: st
     return long.select(
         "row_id",
         F.col("c.channel").alias("channel"),
-        F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("c.alpha").alias("alpha"))).alias("pos", "z"),
-    ).select("row_id", "channel", "pos", "z.word", "z.alpha", F.lit(1).alias("real"))
+        F.posexplode_outer(
+            F.arrays_zip(F.col("words").alias("word"), F.col("c.alpha").alias("alpha"))
+        ).alias("pos", "z"),
+    ).filter(F.col("pos").isNotNull()).select(
+        "row_id", "channel", "pos", "z.word", "z.alpha", F.lit(1).alias("real")
+    )
 
 
 def curated_cards(scored: DataFrame, n: int = 8) -> DataFrame:

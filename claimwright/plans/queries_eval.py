@@ -301,7 +301,7 @@ def top_words_by_channel(spark, sf):
     long = long.select(
         "row_id",
         F.col("c.channel").alias("channel"),
-        F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("c.alpha").alias("alpha"))),
+        F.inline_outer(F.arrays_zip(F.col("words").alias("word"), F.col("c.alpha").alias("alpha"))),
     ).withColumn("real", F.lit(1))
     top = rationale.top_words_long(long, ["row_id", "channel"])
     return top.select("row_id", "channel", "nth", "word", F.round("alpha", 5).alias("alpha"))
@@ -407,7 +407,7 @@ def curated_cards(spark, sf):
     long = few.select("row_id", "words", F.explode(channels).alias("c")).select(
         "row_id",
         F.col("c.channel").alias("channel"),
-        F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("c.alpha").alias("alpha"))),
+        F.inline_outer(F.arrays_zip(F.col("words").alias("word"), F.col("c.alpha").alias("alpha"))),
     )
     tops = rationale.top_words_long(long.withColumn("real", F.lit(1)), ["row_id", "channel"])
     lists = tops.groupBy("row_id", "channel").agg(

@@ -298,9 +298,9 @@ def subword_coverage(spark, sf):
 def subword_mask_by_join(spark, sf):
     rows = tagged(spark, sf)
     mask = rows.select(
-        "row_id", F.posexplode(A.channel_mask(F.col("tags"), "emotion")).alias("word", "value")
-    )
-    slots = rows.select("row_id", F.posexplode(A.subword_slots(F.col("words"))).alias("slot", "word"))
+        "row_id", F.posexplode_outer(A.channel_mask(F.col("tags"), "emotion")).alias("word", "value")
+    ).filter(F.col("word").isNotNull())
+    slots = rows.select("row_id", F.posexplode_outer(A.subword_slots(F.col("words"))).alias("slot", "word"))
     return align.project_mask_long(mask, slots)
 
 
@@ -396,7 +396,7 @@ def attention_over_groups(spark, sf):
 def attention_context(spark, sf):
     rows = pooling.masked_softmax(vectors(spark, sf), ["label"], "score", "mask")
     out = pooling.weighted_context(rows, ["label"], "embedding", "alpha", 64)
-    long = out.select("label", F.posexplode("context").alias("dim", "value"))
+    long = out.select("label", F.posexplode_outer("context").alias("dim", "value"))
     return long.select("label", "dim", (F.round("value", 4) + 0.0).alias("value"))
 
 
@@ -408,7 +408,7 @@ UNION ALL SELECT label, CAST(dim + 64 AS INT), round(peak, 5) FROM p"""
 
 def _pooled_rows(pooled):
     """Long form; the lowest float of an empty group is shown as -1."""
-    long = pooled.select("label", F.posexplode("pooled").alias("dim", "value"))
+    long = pooled.select("label", F.posexplode_outer("pooled").alias("dim", "value"))
     value = F.when(F.col("value") < -1e30, -1.0).otherwise(F.round("value", 5) + 0.0)
     return long.select("label", "dim", value.alias("value"))
 
@@ -433,5 +433,5 @@ def masked_pooling_in_row(spark, sf):
         F.col("vec_id").alias("row_id"),
         pooling.masked_pool_rows(parts, mask, 16).alias("pooled"),
     )
-    long = rows.select("row_id", F.posexplode("pooled").alias("dim", "value"))
+    long = rows.select("row_id", F.posexplode_outer("pooled").alias("dim", "value"))
     return long.select("row_id", "dim", (F.round("value", 5) + 0.0).alias("value"))

@@ -58,6 +58,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` stays within a row bound; counts no further than the bound."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after its row count is known to be within the bound.
 
@@ -65,9 +70,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     adaptive execution splits hot keys.
     """
     fixed = settle(df)
-    if fixed.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(fixed)
-    return fixed
+    return F.broadcast(fixed) if has_at_most(fixed, max_rows) else fixed
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
