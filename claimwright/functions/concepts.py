@@ -6,8 +6,9 @@ ends it and skip words (determiners, adpositions, conjunctions, punctuation) do
 not use up a step.
 
 Tags come from one left-to-right fold per row, with no shuffle. The fold carries
-three slots, "a cue with 1, 2 or 3 steps left", and hands its output on in chunks
-so that a long text costs linear work.
+three slots, "a cue with 1, 2 or 3 steps left", as one small number, and a table
+built from the rule gives the next number, so a step is a look-up. Texts are folded
+in chunks, so that a long one costs linear work.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, functions as F
 
 from claimwright import constants as K
+from claimwright.functions.arrays import let
 from claimwright.functions.text import PUNCT_TOKEN
 
 EMOTION, NEGATION, MODALITY = 1, 2, 3
 CONTENT, BOUNDARY, SKIP = 0, 10, 20
 CUE_NAMES = {EMOTION: "EMOTION", NEGATION: "NEGATION", MODALITY: "MODALITY"}
-_CHUNK = 256
+_CHUNK = 64
 
 
 @dataclass(frozen=True)
@@ -66,54 +68,77 @@ def token_class(token: Column, key: Column, lexicon: Lexicon) -> Column:
     return cue + kind
 
 
+def _move(cls: Column) -> Column:
+    """A class as 0-8: content, boundary or skip, times no cue, negation or modality."""
+    return F.floor(cls / 10) * 3 + F.greatest(cls % 10 - 1, F.lit(0))
+
+
+def _int_table(values) -> Column:
+    """A literal array; written as text because that is one expression to build."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def _tables() -> tuple[Column, Column]:
+    """Next state by ``state * 9 + move``, and the cue type that reaches a content token.
+
+    A state is three base-3 digits: the type (none, negation, modality) of the
+    earliest cue with one, two and three steps left.
+    """
+    following, reach = [], []
+    for state in range(27):
+        slots = (state // 9, state // 3 % 3, state % 3)
+        earliest = next((s for s in slots if s), 0)
+        reach.append((0, NEGATION, MODALITY)[earliest])
+        for kind in (CONTENT, BOUNDARY, SKIP):
+            moved = {CONTENT: (*slots[1:], 0), BOUNDARY: (0, 0, 0), SKIP: slots}[kind]
+            for cue in (0, 1, 2):
+                one, two, three = moved
+                following.append(one * 9 + two * 3 + (three or cue))
+    return _int_table(following), _int_table(reach)
+
+
 def concept_codes(tokens: Column, lexicon: Lexicon | None = None) -> Column:
     """``cue * 10 + reach`` per token, reach being the type of the cue that covers it."""
     lexicon = lexicon or Lexicon()
+    following, reach = _tables()
     # The key goes through a lambda variable so that it is computed once per token.
     keyed = F.transform(tokens, lambda t: F.struct(t.alias("t"), token_key(t).alias("k")))
     classes = F.transform(keyed, lambda z: token_class(z["t"], z["k"], lexicon))
-    none = F.lit(0)
-
-    def step(acc: Column, cls: Column) -> Column:
-        cue = cls % 10
-        spreads = cue.isin([NEGATION, MODALITY])
-        content = cls < BOUNDARY
-        boundary = (cls >= BOUNDARY) & (cls < SKIP)
-        s1, s2, s3 = acc["s1"], acc["s2"], acc["s3"]
-        reach = (
-            F.when(~content, none)
-            .when(s1 > 0, s1)
-            .when(s2 > 0, s2)
-            .otherwise(s3)
+    no_states = F.array().cast("array<int>")
+
+    def fold_chunk(moves: Column, state: Column) -> Column:
+        """States before each token of a chunk, and the state after it."""
+        return F.aggregate(
+            moves,
+            F.struct(no_states.alias("seen"), state.alias("s")),
+            lambda acc, move: F.struct(
+                F.concat(acc["seen"], F.array(acc["s"])).alias("seen"),
+                F.get(following, acc["s"] * 9 + move).alias("s"),
+            ),
         )
-        moved1 = F.when(content, s2).when(boundary, none).otherwise(s1)
-        moved2 = F.when(content, s3).when(boundary, none).otherwise(s2)
-        moved3 = F.when(content | boundary, none).otherwise(s3)
-        fresh = F.when(spreads & (moved3 == 0), cue).otherwise(moved3)
-        open_chunk = F.concat(acc["open"], F.array(cue * 10 + reach))
-        full = F.size(acc["open"]) >= _CHUNK - 1
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(open_chunk)))
-            .otherwise(acc["done"])
-            .alias("done"),
-            F.when(full, F.array().cast("array<int>")).otherwise(open_chunk).alias("open"),
-            moved1.alias("s1"),
-            moved2.alias("s2"),
-            fresh.alias("s3"),
+
+    def states(moves: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(moves) - 1, F.lit(0)), F.lit(_CHUNK))
+        return F.aggregate(
+            F.transform(starts, lambda i: F.slice(moves, i + 1, F.lit(_CHUNK))),
+            F.struct(F.array().cast("array<array<int>>").alias("done"), F.lit(0).alias("s")),
+            lambda acc, chunk: let(
+                fold_chunk(chunk, acc["s"]),
+                lambda r: F.struct(
+                    F.concat(acc["done"], F.array(r["seen"])).alias("done"), r["s"].alias("s")
+                ),
+            ),
+            lambda acc: F.flatten(acc["done"]),
         )
 
-    start = F.struct(
-        F.array().cast("array<array<int>>").alias("done"),
-        F.array().cast("array<int>").alias("open"),
-        none.alias("s1"),
-        none.alias("s2"),
-        none.alias("s3"),
-    )
-    return F.aggregate(
+    def code(cls: Column, state: Column) -> Column:
+        reached = F.when(cls < BOUNDARY, F.get(reach, state)).otherwise(F.lit(0))
+        return cls % 10 * 10 + reached
+
+    moves = lambda c: F.transform(c, lambda cls: _move(cls).cast("int"))
+    return let(
         classes,
-        start,
-        step,
-        lambda acc: F.concat(F.flatten(acc["done"]), acc["open"]),
+        lambda c: F.zip_with(c, let(moves(c), states), code),
     )
 
 
