@@ -142,20 +142,17 @@ def concept_codes(tokens: Column, lexicon: Lexicon | None = None) -> Column:
     )
 
 
-def code_tag(code: Column) -> Column:
-    cue, reach = F.floor(code / 10), code % 10
-    return (
-        F.when(cue == EMOTION, "EMOTION")
-        .when(cue == NEGATION, "NEGATION")
-        .when(cue == MODALITY, "MODALITY")
-        .when(reach == NEGATION, "NEGATION_SCOPE")
-        .when(reach == MODALITY, "MODALITY_SCOPE")
-        .otherwise("O")
-    )
+def _tag_name(cue: int, reach: int) -> str:
+    if cue:
+        return CUE_NAMES[cue]
+    return f"{CUE_NAMES[reach]}_SCOPE" if reach in (NEGATION, MODALITY) else "O"
 
 
 def tags_from_codes(codes: Column) -> Column:
-    return F.transform(codes, code_tag)
+    """A token's own cue, else the scope it lies in, else ``O``."""
+    names = [_tag_name(code // 10, code % 10) for code in range(40)]
+    table = F.split(F.lit(",".join(names)), ",")
+    return F.transform(codes, lambda c: F.get(table, c))
 
 
 def concept_tags(tokens: Column, lexicon: Lexicon | None = None) -> Column:
@@ -166,7 +163,7 @@ def concept_counters(codes: Column) -> dict[str, Column]:
     """Per-row counters; scope counts every token a cue reached, cues included."""
 
     def cues(kind):
-        return F.size(F.filter(codes, lambda c: F.floor(c / 10) == kind))
+        return F.size(F.filter(codes, lambda c: c.between(kind * 10, kind * 10 + 9)))
 
     def reached(kind):
         return F.size(F.filter(codes, lambda c: c % 10 == kind))

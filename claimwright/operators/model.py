@@ -19,8 +19,8 @@ from claimwright.session import settle
 def hashed_projection(dim: int = 64) -> Callable:
     """Deterministic stand-in encoder: every word gets a fixed pseudo-random vector.
 
-    Returns a loader, called once per Python worker, that gives the function from
-    a list of words to a float matrix.
+    Returns a loader, called once per task, that gives the function from a list
+    of sentences (lists of words) to one float matrix per sentence.
     """
 
     def load():
@@ -34,7 +34,10 @@ def hashed_projection(dim: int = 64) -> Callable:
             seed = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
             return np.random.default_rng(seed).standard_normal(dim).astype("float32")
 
-        return lambda words: np.stack([vector(w) for w in words]) if words else np.zeros((0, dim), "float32")
+        def encode(sentences):
+            return [np.array([vector(w) for w in words]).reshape(-1, dim) for words in sentences]
+
+        return encode
 
     return load
 
@@ -45,12 +48,13 @@ def encode_slots(
     tokens: str,
     key: str = "row_id",
     length: int = K.SUBWORD_LENGTH,
+    batch_rows: int = 256,
 ) -> DataFrame:
     """Long feature table ``(row_id, slot, word, vec)``, one row per filled slot.
 
-    Alignment is computed in the JVM; Python only turns words into vectors, in
-    Arrow batches. The encoder is loaded once per task. Long form keeps a row
-    small and leaves out padding, which a dense tensor would store.
+    Alignment is computed in the JVM; Python only turns words into vectors, a
+    bounded number of sentences at a time. The encoder is loaded once per task.
+    Long form leaves out padding, which a dense tensor would store.
     """
     slots = df.select(
         key,
@@ -59,26 +63,30 @@ def encode_slots(
     )
 
     def run(batches):
+        import numpy as np
         import pandas as pd
 
         encode = loader()
+
+        def table(rows):
+            word_of = [np.asarray(s) for s in rows["slots"]]
+            used = [np.flatnonzero(w >= 0) for w in word_of]
+            picked = [w[u] for w, u in zip(word_of, used)]
+            texts = [[str(words[i]) for i in p] for words, p in zip(rows["words"], picked)]
+            vectors = encode(texts)
+            return pd.DataFrame(
+                {
+                    key: np.repeat(rows[key].to_numpy(), [len(u) for u in used]),
+                    "slot": np.concatenate(used),
+                    "word": np.concatenate(picked),
+                    # An object column, also when there is no vector at all.
+                    "vec": pd.Series([v for matrix in vectors for v in matrix], dtype=object),
+                }
+            )
+
         for batch in batches:
-            parts = []
-            for row_key, words, word_of_slot in zip(batch[key], batch["words"], batch["slots"]):
-                used = [(i, int(w)) for i, w in enumerate(word_of_slot) if w >= 0]
-                vectors = encode([str(words[w]) for _, w in used])
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            key: row_key,
-                            "slot": [i for i, _ in used],
-                            "word": [w for _, w in used],
-                            "vec": list(vectors),
-                        }
-                    )
-                )
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            for start in range(0, len(batch), batch_rows):
+                yield table(batch.iloc[start : start + batch_rows])
 
     kind = dict(df.dtypes)[key]
     return slots.mapInPandas(run, f"{key} {kind}, slot int, word int, vec array<float>")
