@@ -72,16 +72,24 @@ def strip_html(text: Column) -> Column:
         r"(?s)</?[A-Za-z!][^>]*>",
     ):
         text = F.regexp_replace(text, block, "")
+    # The first group may lack its semicolon. The ampersand comes last, or it would
+    # make new entities.
     for entity, char in (
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&quot;", '"'),
-        ("&#39;", "'"),
+        ("&lt;?", "<"),
+        ("&gt;?", ">"),
+        ("&quot;?", '"'),
+        ("&#39;?", "'"),
+        ("&nbsp;?", "\u00a0"),
+        ("&copy;?", "©"),
+        ("&reg;?", "®"),
+        ("&middot;?", "·"),
         ("&apos;", "'"),
-        ("&nbsp;", "\u00a0"),
-        ("&amp;", "&"),
+        ("&ndash;", "–"),
+        ("&mdash;", "—"),
+        ("&hellip;", "…"),
+        ("&amp;?", "&"),
     ):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+        text = F.regexp_replace(text, entity, char)
     return text
 
 

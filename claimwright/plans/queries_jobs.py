@@ -93,7 +93,18 @@ def encoded_splits(spark, sf):
     )
 
 
-@query("merged_concept_coverage")
+@query(
+    "merged_concept_coverage",
+    f"""WITH {_POLITICAL_SQL}, {_HEALTH_SQL}, merged0 AS (
+      SELECT row_id * 2 AS row_id, tokens[1:128] AS tokens FROM political0 UNION ALL SELECT row_id * 2 + 1, tokens FROM health),
+    {B.sql_tagged('merged0')},
+    pieces AS (SELECT row_id, pos, tag, unnest(range(CAST(ceil(greatest(length(token), 1) / 4) AS INT))) AS piece FROM tagged),
+    slots AS (SELECT tag, row_number() OVER (PARTITION BY row_id ORDER BY pos, piece) AS slot FROM pieces),
+    s AS (SELECT (SELECT count(*) FROM merged0) AS rows, count(*) FILTER (tag = 'EMOTION') AS emotion,
+        count(*) FILTER (tag IN ('MODALITY', 'MODALITY_SCOPE')) AS modality, count(*) FILTER (tag IN ('NEGATION', 'NEGATION_SCOPE')) AS negation
+      FROM slots WHERE slot <= 126)
+    SELECT *, round((emotion + modality + negation) / (rows * 128.0::DOUBLE), 6) AS coverage, emotion + modality + negation < 1000 AS low_coverage FROM s""",
+)
 def merged_concept_coverage(spark, sf):
     return summaries.subword_coverage(pipelines.concept_features(merged(spark, sf)))
 

@@ -17,10 +17,11 @@ for _block in (
 ):
     _HTML_SQL = f"regexp_replace({_HTML_SQL}, '{_block}', '', 'g')"
 for _entity, _char in (
-    ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"),
-    ("&apos;", "''''"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'"),
+    ("&lt;?", "'<'"), ("&gt;?", "'>'"), ("&quot;?", "chr(34)"), ("&#39;?", "chr(39)"), ("&nbsp;?", "chr(160)"),
+    ("&copy;?", "'©'"), ("&reg;?", "'®'"), ("&middot;?", "'·'"), ("&apos;", "chr(39)"), ("&ndash;", "'–'"),
+    ("&mdash;", "'—'"), ("&hellip;", "'…'"), ("&amp;?", "'&'"),
 ):
-    _HTML_SQL = f"replace({_HTML_SQL}, '{_entity}', {_char})"
+    _HTML_SQL = f"regexp_replace({_HTML_SQL}, '{_entity}', {_char}, 'g')"
 
 
 @query("html_strip", f"SELECT page_id, {_HTML_SQL} AS content FROM pages")
@@ -29,7 +30,7 @@ def html_strip(spark, sf):
     return pages.select("page_id", T.strip_html(F.col("html")).alias("content"))
 
 
-@query("html_parse")
+@query("html_parse", f"SELECT page_id, {_HTML_SQL} AS content FROM pages")
 def html_parse(spark, sf):
     pages = B.table(spark, sf, "pages")
     return pages.select("page_id", T.html_to_text(F.col("html")).alias("content"))

@@ -28,6 +28,8 @@ from claimwright.operators import cleaning
         (T.name_emojis, "hi \U0001F600!", "hi  <EMO_grinning_face> !"),
         (T.strip_html, "<p>a &amp; b<!-- x --><script>var t='</p>';</script></p> 1 < 2",
          "a & b 1 < 2"),
+        (T.strip_html, "a&nbsp;b &amplt; &copy &ndash;", "a\u00a0b &lt; © –"),
+        (T.html_to_text, "a&nbsp;b &copy &ndash;", "a\u00a0b © –"),
         (T.html_to_text, "<p>a &amp; b<!-- x --><script>1<2</script></p>&#233;", "a & bé"),
     ],
 )
