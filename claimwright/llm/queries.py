@@ -112,3 +112,37 @@ def op3_token_store(spark, sf):
     )
     read = store.read(store.directory.select("key", "rank"))
     return read.select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+
+
+@query("op6_language_id")
+def op6_language_id(spark, sf):
+    from claimwright.llm import language_id
+    from claimwright.llm.common import fold
+
+    docs = table(spark, sf, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    named = language_id.identify(docs, docs.where(~held_out))
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores learnt from the labels outside fold 0 of 5, negatives left aside."""
+    from claimwright.llm import quality
+    from claimwright.llm.common import fold
+
+    learn = fold(F.col("doc_id"), 5) != 0
+    trusted = labels.where(learn & (F.col("quality") == 1)).select("doc_id")
+    return quality.score_quality(docs, trusted, docs.where(learn).select("doc_id"))
+
+
+@query("op7_quality")
+def op7_quality(spark, sf):
+    from claimwright.llm.common import fold
+
+    scored = quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
