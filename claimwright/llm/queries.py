@@ -146,3 +146,15 @@ def op7_quality(spark, sf):
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark, sf):
+    import public_tokenizers
+
+    from claimwright.llm import pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf, "documents"), model)
+    back = pieces.decode(coded.select(F.struct("doc_id", "n_ids", "ids", "ids_crc32").alias("coded"), "ids"), model, "coded")
+    return back.select("coded.*", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
