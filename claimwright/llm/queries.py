@@ -158,3 +158,15 @@ def op9_sentencepiece(spark, sf):
     coded = pieces.encode(table(spark, sf, "documents"), model)
     back = pieces.decode(coded.select(F.struct("doc_id", "n_ids", "ids", "ids_crc32").alias("coded"), "ids"), model, "coded")
     return back.select("coded.*", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf):
+    from claimwright.llm import toxicity
+    from claimwright.llm.common import fold
+
+    held_out = fold(F.col("doc_id"), 3) == 1
+    scored = toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels").where(~held_out))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
