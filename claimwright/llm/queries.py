@@ -170,3 +170,10 @@ def op2_toxicity(spark, sf):
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark, sf):
+    from claimwright.llm import decontaminate
+
+    return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
