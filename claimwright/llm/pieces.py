@@ -275,3 +275,10 @@ def decode(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
     id_type = tokens.schema[id_col].dataType.simpleString()
     rows = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return rows.mapInArrow(run, f"id {id_type}, text string").withColumnRenamed("id", id_col)
+
+
+def encode_and_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` with ``decoded_sha256``, the hash of the text that ``decode`` makes of the ids."""
+    coded = encode(docs, model, id_col, text_col)
+    whole = coded.select(F.struct(*coded.columns).alias("coded"), "ids")
+    return decode(whole, model, "coded").select("coded.*", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -154,10 +154,7 @@ def op9_sentencepiece(spark, sf):
 
     from claimwright.llm import pieces
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf, "documents"), model)
-    back = pieces.decode(coded.select(F.struct("doc_id", "n_ids", "ids", "ids_crc32").alias("coded"), "ids"), model, "coded")
-    return back.select("coded.*", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return pieces.encode_and_decode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @query("op2_toxicity")
@@ -177,3 +174,10 @@ def op1_decontamination(spark, sf):
     from claimwright.llm import decontaminate
 
     return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark, sf):
+    from claimwright.llm import near_dup
+
+    return near_dup.near_duplicates(table(spark, sf, "documents"))

@@ -56,7 +56,8 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mixer."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -65,10 +66,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _powers = np.ones(1, np.uint64)
 
 
-def _powers_to(n: int) -> np.ndarray:
+def powers_to(n: int) -> np.ndarray:
+    """At least the first ``n`` powers of an odd number, modulo 2^64."""
     global _powers
     if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[1], np.full(max(n, 256) - 1, 0x9E3779B97F4A7C15, np.uint64)]).astype(np.uint64))
+        factors = np.full(max(n, 256), 0x9E3779B97F4A7C15, np.uint64)
+        factors[0] = 1
+        _powers = np.cumprod(factors, dtype=np.uint64)
     return _powers
 
 
@@ -96,9 +100,9 @@ class Words:
             own = np.flatnonzero(mask)
             cuts = np.concatenate([[0], np.cumsum(self.size)[:-1]])
             place = np.arange(len(own)) - np.repeat(cuts, self.size)
-            powers = _powers_to(int(self.size.max()) + 1)
+            powers = powers_to(int(self.size.max()) + 1)
             values = (self.data[own].astype(np.uint64) + np.uint64(1)) * powers[place]
-            self.hash = _mix(np.add.reduceat(values, cuts) + self.size.astype(np.uint64))
+            self.hash = mix(np.add.reduceat(values, cuts) + self.size.astype(np.uint64))
         else:
             self.hash = np.zeros(0, np.uint64)
 
