@@ -264,11 +264,11 @@ class _Adam:
             p[k] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 5, most_words: int = 20_000) -> Network:
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, least_steps: int = 350, batch: int = 128, rate: float = 0.01, seed: int = 5, most_words: int = 20_000) -> Network:
     """Train on texts with labels 0 and 1; both must occur.
 
     Word vectors exist for the ``most_words`` words that occur in most training texts.
-    Each epoch finds the worst window of every text and learns from it, and for texts
+    There are ``epochs`` epochs, or as many as make ``least_steps`` steps. Each finds the worst window of every text and learns from it, and for texts
     of label 0 from one more window. The log odds that a text is trained with come from
     the other half of the texts: its own would give its label away.
     """
@@ -300,7 +300,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 128,
     net = Network.new(lexicon.hash[chosen], *crossed[0], seed)
     who, start, size = windows(lexicon.first)
     rng, adam = np.random.default_rng(seed), _Adam(rate)
-    for epoch in range(epochs):
+    epoch = steps = 0
+    while len(who) and (epoch < epochs or steps < least_steps):
         logits = np.empty(len(who), np.float32)
         for k in (0, 1):
             net.word_odds, net.gram_odds = crossed[k]
@@ -318,6 +319,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 128,
             k, own = parts[turn]
             net.word_odds, net.gram_odds = crossed[k]
             adam.step(net.p, _batch_gradients(net, lexicon, start[own], size[own], labels[who[own]]))
+        epoch, steps = epoch + 1, steps + len(parts)
     net.word_odds, net.gram_odds = odds(np.ones(len(texts), bool))
     return net
 
