@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def keep_first(df: DataFrame, text: str, order: list[str]) -> DataFrame:
     """One row per distinct ``text``: the first in ``order``, which must be unique.
 
-    Spark turns ``row_number() = 1`` into a group limit that runs before the
-    shuffle, so every map task sends at most one row per text. A text that makes
-    up a third of the corpus therefore costs its reducer one row per map task.
-    The hash leads the sort, so texts are compared only where hashes agree.
+    The first place of each text is a narrow aggregate over a 128-bit hash, with map-side
+    partials, so a text that makes up a third of the corpus costs its reducer one small
+    row per map task. The rows themselves are then met by their unique order: no text is
+    sorted or compared, and no key is hot.
     """
-    first = Window.partitionBy(F.xxhash64(text), F.col(text)).orderBy(*order)
-    return (
-        df.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") == 1).drop("_nth")
+    keys = [F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")]
+    firsts = (
+        df.select(*keys, F.struct(*order).alias("_at"))
+        .groupBy("_h1", "_h2")
+        .agg(F.min("_at").alias("_at"))
+        .select(*[F.col(f"_at.{c}").alias(f"_first_{c}") for c in order])
     )
+    same = [df[c].eqNullSafe(F.col(f"_first_{c}")) for c in order]
+    on = same[0]
+    for one in same[1:]:
+        on = on & one
+    return df.join(firsts, on, "left_semi")

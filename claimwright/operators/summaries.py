@@ -50,10 +50,12 @@ def class_weights(df: DataFrame, label: str = "binary_label") -> DataFrame:
 def cleaning_summary(df: DataFrame, raw: str, clean: str, raw_rows=None, kept_rows=None) -> DataFrame:
     """Counters over all rows after the null filter and before duplicate removal."""
     before, after = F.col(raw), F.col(clean)
+    # Links inside markup are gone before URLs and emoji are replaced, so they do not count.
+    plain = T.expand_contractions(T.nfkc(T.strip_html(before)))
     aggs = [
         F.count("*").alias("rows_cleaned"),
-        F.sum(T.url_count(before)).alias("urls_replaced"),
-        F.sum(T.emoji_count(before)).alias("emojis_mapped"),
+        F.sum(T.url_count(plain)).alias("urls_replaced"),
+        F.sum(T.emoji_count(plain)).alias("emojis_mapped"),
         F.sum(T.count_words(T.chunks(after), K.NEGATION_WORDS)).alias("negations_retained"),
         F.round(F.avg(T.chunk_count(before)), 2).alias("avg_len_before"),
         F.round(F.avg(T.chunk_count(after)), 2).alias("avg_len_after"),

@@ -293,7 +293,7 @@ def concept_summary(spark, sf):
 @query(
     "concept_rates_by_label",
     f"""WITH {_CLEANED_SQL}, docs AS (
-      SELECT row_id, {_BINARY} AS binary_label, {B.sql_tokens(B.sql_collapse_punct(B.sql_collapse_space('clean_statement')))}[1:128] AS tokens FROM kept),
+      SELECT row_id, {_BINARY} AS binary_label, {B.sql_tokens(B.sql_collapse_punct(B.sql_collapse_space('clean_statement')))} AS tokens FROM kept),
     {B.sql_tagged('docs')}, s AS (
       SELECT binary_label, count(DISTINCT row_id) AS total_samples, count(*) AS total_tokens, count(*) FILTER (cue = 'EMOTION') AS emotion_tokens,
         count(*) FILTER (cue = 'MODALITY') AS modality_cue_tokens, count(*) FILTER (reach = 'MODALITY') AS modality_scope_tokens,
@@ -308,7 +308,7 @@ def concept_rates_by_label(spark, sf):
     normal = T.collapse_punct(T.collapse_space(F.col("clean_statement")))
     codes = rows.select(
         "binary_label",
-        C.concept_codes(A.head(T.tokenize(normal), 128), B.TEST_LEXICON).alias("codes"),
+        C.concept_codes(T.tokenize(normal), B.TEST_LEXICON).alias("codes"),
     )
     return summaries.concept_summary(codes, "codes", by=["binary_label"])
 

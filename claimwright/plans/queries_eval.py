@@ -261,8 +261,8 @@ def human_summary(spark, sf):
 
 
 def attention(spark, sf):
-    """Words, tags and one attention row per channel of each document's first 128 words."""
-    rows = B.tokens(spark, sf).select("row_id", A.head(F.col("tokens"), 128).alias("words"))
+    """Words, tags and one attention row per channel of each whole document."""
+    rows = B.tokens(spark, sf).select("row_id", F.col("tokens").alias("words"))
     rows = rows.withColumn("tags", C.concept_tags(F.col("words"), B.TEST_LEXICON))
     strength = F.transform("words", lambda w, i: F.length(w) / 4 + i / 1000)
     return rows.withColumns(
@@ -278,7 +278,7 @@ _TAGS = {
     "mo": "('MODALITY', 'MODALITY_SCOPE')",
     "ne": "('NEGATION', 'NEGATION_SCOPE')",
 }
-_ATTENTION_SQL = f"""{B.TOKENS_SQL}, heads AS (SELECT row_id, tokens[1:128] AS tokens FROM docs), {B.sql_tagged('heads')},
+_ATTENTION_SQL = f"""{B.TOKENS_SQL}, {B.sql_tagged('docs')},
 raw AS (SELECT row_id, pos, token, channel, CASE WHEN hit THEN exp(s - max(s) FILTER (hit) OVER (PARTITION BY row_id, channel)) ELSE 0 END AS e FROM (
   SELECT row_id, pos, token, length(token) / 4 + pos / 1000 AS s, channel,
     CASE channel {' '.join(f"WHEN '{c}' THEN tag IN {t}" for c, t in _TAGS.items())} END AS hit

@@ -183,11 +183,14 @@ def metadata_gate(spark, sf):
 # -- truncation, variants, masks ------------------------------------------------------
 
 
-def tagged(spark, sf, length=128):
-    docs = B.tokens(spark, sf).select("row_id", A.head(F.col("tokens"), length).alias("words"))
+def tagged(spark, sf, length=None):
+    """Words and tags of whole texts, or of the first ``length`` words for fixed-width slots."""
+    words = F.col("tokens") if length is None else A.head(F.col("tokens"), length)
+    docs = B.tokens(spark, sf).select("row_id", words.alias("words"))
     return docs.withColumn("tags", C.concept_tags(F.col("words"), B.TEST_LEXICON))
 
 
+_WHOLE_SQL = f"""{B.TOKENS_SQL}, {B.sql_tagged('docs')}"""
 _HEAD_SQL = f"""{B.TOKENS_SQL}, heads AS (SELECT row_id, tokens[1:128] AS tokens FROM docs), {B.sql_tagged('heads')}"""
 
 
@@ -203,7 +206,7 @@ def head_truncation(spark, sf):
 
 @query(
     "concept_token_variants",
-    f"""WITH {_HEAD_SQL} SELECT row_id, coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (tag <> 'O'), '') AS kept,
+    f"""WITH {_WHOLE_SQL} SELECT row_id, coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (tag <> 'O'), '') AS kept,
       coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (tag = 'O'), '') AS rest FROM tagged GROUP BY row_id""",
 )
 def concept_token_variants(spark, sf):
@@ -224,7 +227,7 @@ _IN = {
 
 @query(
     "channel_word_masks",
-    f"""WITH {_HEAD_SQL} SELECT row_id, {', '.join(f"string_agg(CASE WHEN {x} THEN '1' ELSE '0' END, '' ORDER BY pos) AS {c}" for c, x in _IN.items())},
+    f"""WITH {_WHOLE_SQL} SELECT row_id, {', '.join(f"string_agg(CASE WHEN {x} THEN '1' ELSE '0' END, '' ORDER BY pos) AS {c}" for c, x in _IN.items())},
       {', '.join(f"bool_or({x}) AS has_{c}" for c, x in _IN.items())} FROM tagged GROUP BY row_id""",
 )
 def channel_word_masks(spark, sf):
@@ -255,7 +258,7 @@ slots AS (
 )
 def subword_alignment(spark, sf):
     words = F.col("words")
-    rows = tagged(spark, sf).withColumn("slots", A.subword_slots(words))
+    rows = tagged(spark, sf, 128).withColumn("slots", A.subword_slots(words))
     return rows.select(
         "row_id",
         F.array_join(F.col("slots").cast("array<string>"), " ").alias("word_index"),
@@ -265,7 +268,7 @@ def subword_alignment(spark, sf):
 
 
 def masked_rows(spark, sf):
-    rows = tagged(spark, sf).withColumn("word_index", A.subword_slots(F.col("words")))
+    rows = tagged(spark, sf, 128).withColumn("word_index", A.subword_slots(F.col("words")))
     return align.subword_masks(rows, "tags", "word_index", extra=["word_index", "words"])
 
 
@@ -296,7 +299,7 @@ def subword_coverage(spark, sf):
     f"WITH {_SLOTS_SQL} SELECT row_id, CAST(slot AS INT) AS slot, CASE WHEN tag = 'EMOTION' THEN 1 ELSE 0 END AS value FROM slots",
 )
 def subword_mask_by_join(spark, sf):
-    rows = tagged(spark, sf)
+    rows = tagged(spark, sf, 128)
     mask = rows.select(
         "row_id", F.posexplode_outer(A.channel_mask(F.col("tags"), "emotion")).alias("word", "value")
     ).filter(F.col("word").isNotNull())
@@ -346,7 +349,7 @@ def rows_behind_keys(spark, sf):
 
 @query(
     "attention_in_row",
-    f"""WITH {_HEAD_SQL}, w AS (SELECT row_id, pos, length(token) / 4 AS s, {_IN['negation']} AS m FROM tagged),
+    f"""WITH {_WHOLE_SQL}, w AS (SELECT row_id, pos, length(token) / 4 AS s, {_IN['negation']} AS m FROM tagged),
     p AS (SELECT *, CASE WHEN m THEN exp(s - max(s) FILTER (m) OVER r) ELSE 0 END AS e FROM w WINDOW r AS (PARTITION BY row_id)),
     a AS (SELECT *, CASE WHEN sum(e) OVER (PARTITION BY row_id) > 0 THEN e / sum(e) OVER (PARTITION BY row_id) ELSE 0 END AS alpha FROM p)
     SELECT row_id, CAST(count(*) AS INT) AS n, round(max(alpha), 6) AS peak, round(sum(alpha * pos), 4) AS context FROM a GROUP BY row_id""",

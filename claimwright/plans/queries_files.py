@@ -14,7 +14,6 @@ from claimwright.plans.registry import query
 from claimwright.session import scratch_path, settle
 from claimwright.sources import readers, sinks
 
-_PARTS = (("train", ("en",)), ("valid", ("fr", "de")), ("test", ("es",)))
 
 
 @query(
@@ -24,7 +23,8 @@ _PARTS = (("train", ("en",)), ("valid", ("fr", "de")), ("test", ("es",)))
     SELECT row_number() OVER (ORDER BY file, row_id) - 1 AS row_id, * EXCLUDE (row_id, file) FROM n""",
 )
 def claims_from_tsv(spark, sf):
-    # Three header-less files, each written in row order, so that ids can be compared.
+    # Three header-less files, each written in row order, so that ids can be compared. Two of
+    # them have the same name, and statements keep their line breaks.
     rows = B.claims(spark, sf)
     raw = rows.select(
         "row_id",
@@ -34,16 +34,18 @@ def claims_from_tsv(spark, sf):
         ],
     )
     folder = scratch_path(spark, "tsv")
-    for name, langs in _PARTS:
-        part = raw.filter(F.element_at(F.split("subject", ","), 1).isin(list(langs)))
+    lang = F.element_at(F.split("subject", ","), 1)
+    place = F.when(lang == "en", 0).when(lang == "es", 2).otherwise(1)
+    names = ("b/claims", "a/claims", "test")
+    for i, name in enumerate(names):
+        part = raw.filter(place == i)
         (
             part.orderBy("row_id").drop("row_id")
             .write.option("sep", "\t").option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .csv(f"{folder}/{name}.tsv")
         )
-    paths = [f"{folder}/{name}.tsv" for name, _ in _PARTS]
-    return readers.read_political_tsv(spark, paths, multi_line=True)
+    return readers.read_political_tsv(spark, [f"{folder}/{name}.tsv" for name in names])
 
 
 @query("stage_table_csv", f"WITH {B.CLAIMS_SQL} SELECT row_id, label, statement, barely_true_count FROM claims")
@@ -83,7 +85,7 @@ def snapshot_files(spark, sf):
             .csv(f"{folder}/{name}{readers.SNAPSHOT_SUFFIX}")
         )
 
-    flat = rows.withColumn("title", F.regexp_replace("statement", "\n", "\x1e"))
+    flat = rows.withColumnRenamed("statement", "title")
     for subset, first in (("claim", "Claim"), ("news", "News")):
         for label, second in (("fake", "Fake"), ("real", "Real")):
             part = flat.filter((F.col("subset") == subset) & (F.col("label") == label))
@@ -92,10 +94,7 @@ def snapshot_files(spark, sf):
     write(flat.select("row_id", "title"), "ClaimNewsFake")
     write(flat.select("row_id", "label"), "NewsRealUntitled")
     found = readers.read_snapshots(spark, folder)
-    return found.select(
-        F.regexp_replace("statement", "\x1e", "\n").alias("statement"),
-        "label", "subset", "source_file",
-    )
+    return found.select("statement", "label", "subset", "source_file")
 
 
 @query(
@@ -112,17 +111,18 @@ def array_cache(spark, sf):
 
 @query(
     "materialized_cache",
-    "SELECT doc_id AS row_id, n_chars, true AS first_wrote, false AS second_wrote, true AS third_wrote FROM documents WHERE lang = 'en'",
+    """SELECT lang, count(*) AS n, CAST(sum(n_chars + 1) AS BIGINT) AS total, true AS first_wrote, false AS second_wrote, true AS third_wrote
+    FROM documents GROUP BY lang""",
 )
 def materialized_cache(spark, sf):
-    # Written, found up to date, then rebuilt because the rows have changed.
+    # Written, found up to date, then rebuilt because values have changed under the same keys.
     rows = B.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "n_chars", "lang")
     path = scratch_path(spark, "cache")
     _, first = sinks.materialize(rows, path)
     _, second = sinks.materialize(rows, path)
-    table, third = sinks.materialize(rows.filter(F.col("lang") == "en"), path)
-    return table.select(
-        "row_id", "n_chars",
+    table, third = sinks.materialize(rows.withColumn("n_chars", F.col("n_chars") + 1), path)
+    return table.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("total")).select(
+        "lang", "n", "total",
         F.lit(first).alias("first_wrote"),
         F.lit(second).alias("second_wrote"),
         F.lit(third).alias("third_wrote"),
@@ -133,15 +133,14 @@ def materialized_cache(spark, sf):
     "variant_tables",
     f"""WITH {B.TOKENS_SQL}, {B.sql_split('docs', 'lang')}
     SELECT CAST(l AS INT) AS L, split, count(*) AS n, CAST(sum(least(len(tokens), l)) AS BIGINT) AS kept_tokens
-    FROM split_rows, (VALUES (128), (512)) AS v(l) GROUP BY l, split""",
+    FROM split_rows, (VALUES (128), (256), (512)) AS v(l) GROUP BY l, split""",
 )
 def variant_tables(spark, sf):
     docs = settle(B.tokens(spark, sf).select("row_id", "lang", "tokens"))
     rows = split.length_variants(split.stratified_split(docs, ["lang"]), "tokens")
     path = scratch_path(spark, "variants")
     sinks.write_variants(rows.drop("tokens"), path)
-    # The filter on a partition column reads two of three folders.
-    stored = spark.read.parquet(path).filter(F.col("L") != 256)
+    stored = spark.read.parquet(path)
     return stored.groupBy("L", "split").agg(
         F.count("*").alias("n"), F.sum(F.size("truncated_tokens")).alias("kept_tokens")
     )
@@ -227,9 +226,12 @@ def epoch_log(spark, sf):
 def result_files(spark, sf):
     rows = B.results(spark, sf).withColumnRenamed("setting", "tag")
     path = scratch_path(spark, "results")
-    for phase in (3, 4):
-        sinks.append_result(rows.filter(F.col("phase") == phase), path)
-    return readers.read_results(spark, f"{path}/*.json").select("tag", "phase", "seed", "test_macro_f1")
+    sinks.append_result(rows.filter(F.col("phase") == 3), path)
+    # The other phase as indented objects, the form of a record that a person reads.
+    others = rows.filter(F.col("phase") == 4)
+    columns = [c for c in schemas.RESULT.names if c in others.columns]
+    others.select(F.to_json(F.struct(*columns), {"pretty": "true"})).write.text(f"{path}-indented")
+    return readers.read_results(spark, [f"{path}/*.json", f"{path}-indented/*.txt"]).select("tag", "phase", "seed", "test_macro_f1")
 
 
 @query(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from claimwright import schemas
 from claimwright.functions import labels as L
@@ -53,12 +54,13 @@ def with_row_id(df: DataFrame, file_order, columns: list[str]) -> DataFrame:
 
 
 def read_political_tsv(
-    spark: SparkSession, paths: list[str], quoted: bool = True, multi_line: bool = False
+    spark: SparkSession, paths: list[str], quoted: bool = True, multi_line: bool = True
 ) -> DataFrame:
     """The header-less claim files, in the given order, with ``row_id``.
 
-    ``quoted`` honours double quotes with doubled-quote escapes; ``multi_line``
-    also lets a quoted field span lines, at the price that a file is one task.
+    ``quoted`` honours double quotes with doubled-quote escapes. By default a quoted field
+    may span lines, for which a file is one task. ``multi_line=False`` splits files; it
+    fails on rows of another width, as a line break inside quotes would leave.
     """
     reader = (
         spark.read.schema(schemas.RAW_POLITICAL)
@@ -66,14 +68,16 @@ def read_political_tsv(
         .option("quote", '"' if quoted else "\0")
         .option("escape", '"' if quoted else "\0")
         .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
+        .option("mode", "PERMISSIVE" if multi_line else "FAILFAST")
     )
     scan = reader.csv(paths)
-    order = F.lit(len(paths))
+    # Whole paths, since two folders may hold files of the same name. One entry per input.
+    place = F.lit(len(paths))
+    found = F.concat(F.regexp_replace("_metadata.file_path", r"^file:/+", "/"), F.lit("/"))
     for i, path in reversed(list(enumerate(paths))):
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        order = F.when(F.col("_metadata.file_path").contains(f"/{name}"), i).otherwise(order)
-    numbered = with_row_id(scan, order, schemas.POLITICAL_COLUMNS)
+        own = re.sub(r"^file:/+", "/", path.rstrip("/")) + "/"
+        place = F.when(F.url_decode(F.regexp_replace(found, r"\+", "%2B")).startswith(own), i).otherwise(place)
+    numbered = with_row_id(scan, place, schemas.POLITICAL_COLUMNS)
     texts = ["label", "statement", "subject", "speaker", "party", "context"]
     return numbered.withColumns({c: L.null_if_marker(F.col(c)) for c in texts})
 
@@ -111,16 +115,39 @@ def _snapshot_paths(spark: SparkSession, folder: str) -> list[str]:
     return sorted({unquote(f[: f.index(SNAPSHOT_SUFFIX) + len(SNAPSHOT_SUFFIX)]) for f in found})
 
 
+def _headers(spark: SparkSession, folder: str) -> dict[str, tuple]:
+    return {
+        path: tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
+        for path in _snapshot_paths(spark, folder)
+    }
+
+
+def snapshot_report(spark: SparkSession, folder: str, text: str = SNAPSHOT_TEXT) -> DataFrame:
+    """One row per snapshot file: ``source_file, subset, label, rows, skipped``.
+
+    ``skipped`` says why a file is left out, and is null for files that are read.
+    """
+    counts = read_snapshots(spark, folder, text).groupBy("source_file").agg(F.count("*").alias("rows"))
+    names = [(path.rsplit("/", 1)[-1], text in header) for path, header in _headers(spark, folder).items()]
+    files = spark.createDataFrame(names, "source_file string, has_text boolean")
+    subset, label = classify_snapshot(F.col("source_file"))
+    why = F.when(~F.col("has_text"), f"no column {text}").when(subset.isNull(), "name does not classify")
+    return files.join(counts, "source_file", "left").select(
+        "source_file", subset.alias("subset"), label.alias("label"),
+        F.when(why.isNull(), F.coalesce("rows", F.lit(0))).alias("rows"), why.alias("skipped"),
+    )
+
+
 def read_snapshots(spark: SparkSession, folder: str, text: str = SNAPSHOT_TEXT) -> DataFrame:
     """Every snapshot file of a folder: ``row_id, statement, label, subset, source_file``.
 
     A file without the text column is skipped, as is one whose name does not say
-    both what it holds and whether that is fake. Only headers are read on the
-    driver, once per file; files with the same header share one scan.
+    both what it holds and whether that is fake; ``snapshot_report`` lists them. A file
+    that cannot be read fails the job. Only headers are read on the driver, once per
+    file; files with the same header share one scan.
     """
     by_header: dict[tuple, list[str]] = {}
-    for path in _snapshot_paths(spark, folder):
-        header = tuple(spark.read.option("header", True).csv(path).columns)
+    for path, header in _headers(spark, folder).items():
         if text in header:
             by_header.setdefault(header, []).append(path)
     scans = []
@@ -135,7 +162,7 @@ def read_snapshots(spark: SparkSession, folder: str, text: str = SNAPSHOT_TEXT)
             spark.read.schema(schema)
             .option("header", True)
             .option("escape", '"')
-            .option("ignoreCorruptFiles", True)
+            .option("multiLine", True)
             .csv(paths)
         )
         scans.append(scan.select(F.col(text).alias("statement"), name.alias("source_file"), "_metadata"))
@@ -158,6 +185,13 @@ def read_arrays(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
     return spark.read.parquet(path).select(*columns)
 
 
-def read_results(spark: SparkSession, pattern: str, multi_line: bool = False) -> DataFrame:
-    """Run records, one JSON object per file or per line."""
-    return spark.read.schema(schemas.RESULT).option("multiLine", multi_line).json(pattern)
+def read_results(spark: SparkSession, pattern: str) -> DataFrame:
+    """Run records: JSON objects, one or more to a file, indented or one per line.
+
+    A record is small and so is a file of them; each file is read whole. Between two
+    records stands a line break and no comma, which never occurs inside one.
+    """
+    files = spark.read.text(pattern, wholetext=True)
+    listed = F.regexp_replace(F.trim("value"), r"\}\s*[\r\n]\s*\{", "},{")
+    records = F.from_json(F.concat(F.lit("["), listed, F.lit("]")), ArrayType(schemas.RESULT))
+    return files.select(F.explode_outer(records).alias("r")).where("r is not null").select("r.*")

@@ -42,8 +42,10 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def fingerprint(df: DataFrame, key: str, width: str | None = None) -> DataFrame:
-    """One row: number of rows, order-free hash of the keys, widest array."""
-    hashed = F.sum(F.xxhash64(key).cast("decimal(20,0)"))
+    """One row: number of rows, order-free hash of keys and values, widest array."""
+    others = [c for c in df.columns if c != key]
+    plain = [F.to_json(F.struct(c)) if "map" in t or "variant" in t else F.col(c) for c, t in df.dtypes if c in others]
+    hashed = F.sum(F.xxhash64(key, *plain).cast("decimal(20,0)"))
     widest = F.max(F.size(width)) if width else F.lit(0)
     return df.agg(
         F.count("*").alias("rows"),
@@ -58,7 +60,7 @@ def materialize(
     """Write ``df`` unless an up-to-date copy exists; returns the table and whether it wrote.
 
     A copy is up to date if its stored fingerprint matches: same row count, same
-    keys, same width. A missing or unreadable fingerprint counts as stale.
+    keys with the same values, same width. A missing or unreadable fingerprint counts as stale.
     """
     spark = df.sparkSession
     wanted = fingerprint(df, key, width).first()
@@ -123,5 +125,5 @@ def append_result(df: DataFrame, path: str) -> None:
 
 
 def write_cards(df: DataFrame, text: str, path: str, order: str) -> None:
-    """Text cards in order; there are a handful, so one file holds them."""
-    df.orderBy(order).select(text).coalesce(1).write.mode("overwrite").text(path)
+    """Text cards in order, within and across the files."""
+    df.orderBy(order).select(text).write.mode("overwrite").text(path)

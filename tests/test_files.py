@@ -97,7 +97,7 @@ def test_results_glob(spark, tmp_path):
         record = {"phase": 4, "seed": seed, "test_macro_f1": 0.5 + seed / 1000,
                   "test_per_domain": {"political": {"n": 3, "acc": 0.5, "macro_f1": 0.4}}}
         (tmp_path / f"run_seed{seed}.json").write_text(json.dumps(record, indent=2))
-    rows = readers.read_results(spark, str(tmp_path / "run_seed*.json"), multi_line=True).collect()
+    rows = readers.read_results(spark, str(tmp_path / "run_seed*.json")).collect()
     assert {r["seed"] for r in rows} == {41, 42}
     assert rows[0]["test_per_domain"]["political"]["n"] == 3
 
@@ -147,3 +147,71 @@ def test_row_local_steps_run_on_a_stream(spark, tmp_path):
     rows = {r["statement"]: r["tags"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows["it is NOT so!!"] == ["O", "O", "O", "NEGATION", "NEGATION_SCOPE", "O"]
     assert rows["5 maybe"] == ["O", "MODALITY"]
+
+
+def test_tsv_keeps_quoted_line_breaks_and_path_order(spark, tmp_path):
+    tail = ["1", "2", "0", "3", "4", "tv"]
+    for folder, who in (("b", "first"), ("a", "second")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "train.tsv").write_text(_line("1", "true", f'"{who}\nclaim"', "s", "x", "j", "s", "p", *tail))
+    paths = [str(tmp_path / "b" / "train.tsv"), str(tmp_path / "a" / "train.tsv")]
+    rows = readers.read_political_tsv(spark, paths).orderBy("row_id").collect()
+    assert [(r["row_id"], r["statement"]) for r in rows] == [(0, "first\nclaim"), (1, "second\nclaim")]
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        readers.read_political_tsv(spark, paths, multi_line=False).collect()
+
+
+def test_snapshots_keep_line_breaks_and_fail_on_corrupt_files(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "NewsFakeCOVID-19.csv").write_text('id,title\n1,"two\nlines"\n2,x\n')
+    (tmp_path / "NewsRealCOVID-19.csv").write_text("headline\nnone\n")
+    assert {r["statement"] for r in readers.read_snapshots(spark, str(tmp_path)).collect()} == {"two\nlines", "x"}
+    report = {r["source_file"]: (r["rows"], r["skipped"]) for r in readers.snapshot_report(spark, str(tmp_path)).collect()}
+    assert report == {"NewsFakeCOVID-19.csv": (2, None), "NewsRealCOVID-19.csv": (None, "no column title")}
+    folder = tmp_path / "ClaimRealCOVID-19.csv"
+    folder.mkdir()
+    packed = gzip.compress("title\n".encode() + b"".join(b"claim %d %d\n" % (i, i * i) for i in range(20000)))
+    (folder / "part.csv.gz").write_bytes(packed[: len(packed) // 2])
+    with pytest.raises(Exception):
+        readers.read_snapshots(spark, str(tmp_path)).collect()
+
+
+def test_results_in_any_layout(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"tag": "x", "seed": 1, "test_per_domain": {"d": {"n": 1, "acc": 0.5, "macro_f1": 0.5}}}, indent=2))
+    (tmp_path / "b.json").write_text('{"tag": "y", "seed": 2}\n{"tag": "z", "seed": 3}\n')
+    rows = readers.read_results(spark, str(tmp_path / "*.json")).collect()
+    assert sorted((r["tag"], r["seed"]) for r in rows) == [("x", 1), ("y", 2), ("z", 3)]
+
+
+def test_materialize_sees_changed_values(spark, tmp_path):
+    frame = spark.range(5).select(F.col("id").alias("row_id"), F.lit("old").alias("v"))
+    path = str(tmp_path / "cache")
+    assert sinks.materialize(frame, path)[1] and not sinks.materialize(frame, path)[1]
+    table, wrote = sinks.materialize(frame.withColumn("v", F.lit("new")), path)
+    assert wrote and table.first()["v"] == "new"
+
+
+def test_cleaning_counts_come_after_markup(spark):
+    from claimwright.operators import summaries
+
+    raw = '<a href="http://x.co">see</a> \U0001f600 www.y.z'
+    row = summaries.cleaning_summary(spark.createDataFrame([(raw, "see")], "a string, b string"), "a", "b").first()
+    assert (row["urls_replaced"], row["emojis_mapped"]) == (1, 1)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from claimwright import session
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
