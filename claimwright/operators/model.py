@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -110,10 +110,13 @@ def fit_classifier(
     tokens: str = "truncated_tokens",
     meta: str | None = "meta",
     grid: tuple = (0.001, 0.01, 0.1),
-    num_features: int = 1 << 14,
+    most_words: int = 1 << 18,
 ) -> tuple[PipelineModel, float]:
     """Class-weighted logistic regression; the grid value with the best val macro-F1 wins.
 
+    Text features are word counts over the ``most_words`` words that occur in most train
+    rows; ``meta=None`` leaves the metadata out.
+
     Features and weights are computed once and written out, and every fit reads
     that table: training passes repeat over stored rows.
     """
@@ -123,7 +126,7 @@ def fit_classifier(
     best = None
     for reg in grid:
         stages = [
-            HashingTF(inputCol=tokens, outputCol="_text", numFeatures=num_features, binary=True),
+            CountVectorizer(inputCol=tokens, outputCol="_text", vocabSize=most_words),
             VectorAssembler(inputCols=parts, outputCol="features"),
             LogisticRegression(
                 labelCol="label", weightCol="class_weight", regParam=reg, maxIter=25
@@ -152,6 +155,15 @@ def score_rows(
     )
 
 
+def save_classifier(model: PipelineModel, path: str) -> None:
+    """Write the best model, replacing an older one."""
+    model.write().overwrite().save(path)
+
+
+def load_classifier(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def channel_scores(tags: str) -> dict:
     """Share of a row's words per channel, standing in for trained head scores."""
     n = F.greatest(F.size(tags), F.lit(1))

@@ -53,6 +53,13 @@ def split_leaks(df: DataFrame, key: str = "row_id") -> DataFrame:
     return df.groupBy(key).agg(*flags).filter(F.col("train") + F.col("val") + F.col("test") > 1)
 
 
+def text_leaks(df: DataFrame, text: str) -> DataFrame:
+    """Hashes of texts that sit in more than one split, though their rows differ."""
+    hashed = df.select("split", F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2"))
+    flags = [F.max((F.col("split") == s).cast("int")).alias(s) for s in SPLITS]
+    return hashed.groupBy("_h1", "_h2").agg(*flags).filter(F.col("train") + F.col("val") + F.col("test") > 1)
+
+
 def length_variants(df: DataFrame, tokens: str, lengths: list[int] | None = None) -> DataFrame:
     """Every row once per length ``L``, its tokens cut to that length."""
     spine = F.explode(F.array(*[F.lit(n) for n in lengths or K.SEQUENCE_LENGTHS]))

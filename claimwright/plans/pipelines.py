@@ -133,14 +133,26 @@ def training_table(corpus: DataFrame) -> DataFrame:
     return settle(align.join_parts([rows, meta]))
 
 
-def train_and_score(corpus: DataFrame, balance: bool = True, grid: tuple = (0.001, 0.01, 0.1)):
-    """Fit on (balanced) train, choose on val, score test: ``(model, val score, scored test)``."""
-    table = training_table(corpus)
+def train_and_score(
+    corpus: DataFrame,
+    balance: bool = True,
+    grid: tuple = (0.001, 0.01, 0.1),
+    use_meta: bool = True,
+    seed: int = K.SEED,
+    table: DataFrame | None = None,
+):
+    """Fit on (balanced) train, choose on val, score test: ``(model, val score, scored test)``.
+
+    ``seed`` decides which rows the balancing repeats; ``use_meta`` switches the metadata
+    features. ``table`` is the ``training_table`` of ``corpus`` where it is known already.
+    """
+    table = training_table(corpus) if table is None else table
+    meta = "meta" if use_meta else None
     train = table.filter(F.col("split") == "train")
     if balance:
-        train = sampling.balanced_exact(train)
-    fitted, score = model.fit_classifier(train, table.filter(F.col("split") == "val"), grid=grid)
-    scored = model.score_rows(fitted, table.filter(F.col("split") == "test"))
+        train = sampling.balanced_exact(train, seed=seed)
+    fitted, score = model.fit_classifier(train, table.filter(F.col("split") == "val"), meta=meta, grid=grid)
+    scored = model.score_rows(fitted, table.filter(F.col("split") == "test"), meta=meta)
     return fitted, score, scored
 
 

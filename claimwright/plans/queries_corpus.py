@@ -389,14 +389,20 @@ def variant_summary(spark, sf):
 
 @query(
     "split_leak_check",
-    f"""WITH {B.ORDER_CLAIMS_SQL}, {B.sql_split('order_claims', 'binary_label')}
-    SELECT count(*) AS n, 0::BIGINT AS leaks FROM split_rows""",
+    f"""WITH {_CLEANED_SQL}, {B.sql_split('kept', 'label')}, parts AS (SELECT split, clean_statement FROM split_rows),
+    planted AS (SELECT * FROM parts UNION ALL SELECT 'test', clean_statement FROM parts WHERE split = 'train')
+    SELECT (SELECT count(*) FROM parts) AS n,
+      (SELECT count(*) FROM (SELECT clean_statement FROM parts GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS leaks,
+      (SELECT count(*) FROM (SELECT clean_statement FROM planted GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS planted_leaks""",
 )
 def split_leak_check(spark, sf):
-    rows = settle(B.order_claims(spark, sf).select("row_id", "binary_label"))
-    parts = settle(split.stratified_split(rows, ["binary_label"]))
-    leaks = split.split_leaks(parts).agg(F.count("*").alias("leaks"))
-    return parts.agg(F.count("*").alias("n")).crossJoin(leaks)
+    # Cleaned texts after duplicate removal, then with every train text copied into test.
+    rows = settle(kept(spark, sf).select("row_id", "label", "clean_statement"))
+    parts = settle(split.stratified_split(rows, ["label"]).select("split", "clean_statement"))
+    copies = parts.filter(F.col("split") == "train").withColumn("split", F.lit("test"))
+    leaks = split.text_leaks(parts, "clean_statement").agg(F.count("*").alias("leaks"))
+    planted = split.text_leaks(parts.unionByName(copies), "clean_statement").agg(F.count("*").alias("planted_leaks"))
+    return parts.agg(F.count("*").alias("n")).crossJoin(leaks).crossJoin(planted)  # one row each
 
 
 # -- merge ----------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimwright.functions import arrays as A
-from claimwright.operators import metrics, model, summaries
+from claimwright.operators import metrics, model, runs, summaries
 from claimwright.plans import bindings as B, pipelines
 from claimwright.plans.queries_corpus import _BINARY, _CLEANED_SQL, _LENIENT
 from claimwright.plans.registry import query
@@ -52,9 +52,13 @@ def health_corpus(spark, sf):
     )
 
 
+#: The length ``L`` of the merged corpus: the trained variant of both sources.
+MERGED_LENGTH = 128
+
+
 def merged(spark, sf):
     tagged = pipelines.tag_claims(
-        pipelines.clean_claims(B.claims(spark, sf)), B.TEST_LEXICON, length=128
+        pipelines.clean_claims(B.claims(spark, sf)), B.TEST_LEXICON, length=MERGED_LENGTH
     ).withColumn("split", F.lit(None).cast("string"))
     health = pipelines.health_corpus(B.headlines(spark, sf), B.TEST_LEXICON)
     return pipelines.merged_corpus(tagged, health)
@@ -66,12 +70,12 @@ def merged(spark, sf):
       SELECT row_id * 2 AS row_id, 'political' AS dataset_source, 1 AS has_meta, {_LENIENT} AS binary_label, len(tokens[1:128]) AS n FROM political0
       UNION ALL SELECT row_id * 2 + 1, 'health', 0, label, len(tokens) FROM health),
     {B.sql_split('merged0', 'binary_label, dataset_source').replace('(rk, n)', '(rk, total)').replace('AS n FROM', 'AS total FROM').replace('(n *', '(total *')}
-    SELECT row_id, split, dataset_source, has_meta, binary_label, CAST(n AS INT) AS n FROM split_rows""",
+    SELECT row_id, split, dataset_source, has_meta, binary_label, 128 AS L, CAST(n AS INT) AS n FROM split_rows""",
 )
 def merged_corpus(spark, sf):
     return merged(spark, sf).select(
         "row_id", "split", "dataset_source", "has_meta", "binary_label",
-        F.size("truncated_tokens").alias("n"),
+        F.lit(MERGED_LENGTH).alias("L"), F.size("truncated_tokens").alias("n"),
     )
 
 
@@ -143,11 +147,24 @@ def classifier_report(spark, sf):
     )
 
 
+@query("training_runs")
+def training_runs(spark, sf):
+    # Three seeds with and without metadata, summed up per setting.
+    table = pipelines.training_table(settle(merged(spark, sf)))
+    records = None
+    for use_meta in (True, False):
+        for seed in (41, 42, 43):
+            _, score, scored = pipelines.train_and_score(table, grid=(0.1,), use_meta=use_meta, seed=seed, table=table)
+            tag = "merged_meta" if use_meta else "merged_text"
+            one = pipelines.result_record(settle(scored), score, tag=tag, seed=seed, use_meta=use_meta)
+            records = one if records is None else records.unionByName(one)
+    return runs.seed_summary(records)
+
+
 @query("faithfulness")
 def faithfulness(spark, sf):
-    corpus = settle(merged(spark, sf))
-    fitted, _, _ = pipelines.train_and_score(corpus, grid=(0.1,))
-    table = pipelines.training_table(corpus)
+    table = pipelines.training_table(settle(merged(spark, sf)))
+    fitted, _, _ = pipelines.train_and_score(table, grid=(0.1,), table=table)
     return model.faithfulness(fitted, table.filter(F.col("split") == "test"))
 
 

@@ -87,3 +87,26 @@ def test_encoded_slots_follow_the_alignment(spark):
     vecs = {(r["row_id"], r["word"]): tuple(r["vec"]) for r in got}
     assert vecs[(1, 1)] == vecs[(3, 5)] and len(vecs[(1, 0)]) == 4
     assert sum(r["row_id"] == 3 for r in got) == 126
+
+
+def test_text_leaks_are_found(spark):
+    from claimwright.operators import split
+
+    rows = [("train", "a"), ("test", "a"), ("train", "b"), ("train", "b"), ("val", None), ("test", "c")]
+    assert split.text_leaks(spark.createDataFrame(rows, "split string, t string"), "t").count() == 1
+
+
+def test_classifier_is_saved_and_loaded(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from claimwright.operators import model
+
+    rows = spark.range(60).select(
+        F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), F.lit(1).alias("has_meta"),
+        F.array(F.when(F.col("id") % 2 == 0, "bad").otherwise("good"), F.lit("word")).alias("truncated_tokens"),
+    )
+    fitted, score = model.fit_classifier(rows, rows, meta=None, grid=(0.01,))
+    model.save_classifier(fitted, str(tmp_path / "model"))
+    again = model.score_rows(model.load_classifier(str(tmp_path / "model")), rows, meta=None)
+    assert score == 1.0 and again.where("pred <> label").count() == 0
+    assert again.select("logit1").collect() == model.score_rows(fitted, rows, meta=None).select("logit1").collect()
