@@ -11,6 +11,7 @@ from claimwright.session import settle
 
 PAD_ID, UNKNOWN_ID = 0, 1
 HOT_TOKENS = 100_000
+RARE_SALTS = 16
 
 
 def explode_tokens(df: DataFrame, tokens: str, key: str = "row_id", extra: list[str] | None = None) -> DataFrame:
@@ -79,17 +80,25 @@ def encode_tokens(
 
     Ids follow frequency, so the ``hot`` most frequent tokens are those with the
     smallest ids: that part has a fixed size and is broadcast. Only tokens it
-    does not hold are shuffled to meet the rest of the vocabulary, and those are
-    rare ones by construction.
+    does not hold are shuffled to meet the rest of the vocabulary, dealt out over
+    salts. An empty list and a null token keep their places.
     """
     cut = df.select(key, F.slice(tokens, 1, length).alias("_t"))
     long = cut.select(key, F.posexplode_outer("_t").alias("pos", "token"))
     head = vocab.filter(F.col("idx") <= hot + 1).select("token", "idx")
     tail = vocab.filter(F.col("idx") > hot + 1).select("token", "idx")
-    first = long.join(F.broadcast(head), "token", "left")
-    known = first.filter(F.col("idx").isNotNull() | F.col("token").isNull())
-    rest = first.filter(F.col("idx").isNull() & F.col("token").isNotNull()).drop("idx")
-    rest = rest.join(tail, "token", "left").withColumn("idx", F.coalesce("idx", F.lit(UNKNOWN_ID)))
+    # Stored once and narrow: tokens are kept only where the head does not know them.
+    first = settle(
+        long.join(F.broadcast(head), "token", "left").select(
+            key, "pos", "idx", F.when(F.col("idx").isNull(), F.col("token")).alias("token")
+        )
+    )
+    known = first.filter(F.col("token").isNull())  # with null tokens, whose id stays null
+    # A word frequent in these rows may be rare in the vocabulary or missing from it: salted.
+    salt = F.pmod(F.xxhash64(key, "pos"), F.lit(RARE_SALTS)).cast("int")
+    rest = first.filter(F.col("token").isNotNull()).drop("idx").withColumn("_salt", salt)
+    tail = tail.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(RARE_SALTS - 1))))
+    rest = rest.join(tail, ["token", "_salt"], "left").withColumn("idx", F.coalesce("idx", F.lit(UNKNOWN_ID)))
     ids = known.select(key, "pos", "idx").unionByName(rest.select(key, "pos", "idx"))
     # At most ``length`` items per row, so the lists stay small.
     listed = ids.groupBy(key).agg(
