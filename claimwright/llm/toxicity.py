@@ -53,6 +53,7 @@ class Lexicon:
         place = np.arange(int(size.sum())) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(size) else np.zeros(0, np.int64)
         flat[inner] = words.data[np.repeat(words.start[where], size) + place]
         owner = np.repeat(np.arange(len(size)), total)
+        owner = owner.astype(np.int32)
         codes, owners = [], []
         c = flat.astype(np.uint32) + np.uint32(1)
         rolling = c.copy()
@@ -68,11 +69,13 @@ class Lexicon:
         self.gram_count = np.bincount(owners, minlength=len(size))
         self.gram_start = np.concatenate([[0], np.cumsum(self.gram_count)[:-1]]).astype(np.int64)
 
-    def over_grams(self, values: np.ndarray, how=np.add) -> np.ndarray:
-        """Sum or maximum of a value per n-gram over the n-grams of each word; each word has some."""
-        if not len(self.gram_start):
-            return np.zeros((0, *values.shape[1:]), values.dtype)
-        return how.reduceat(values, self.gram_start, axis=0)
+    def blocks(self, words: int = 32_768) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Words by blocks: their slice, their n-grams, and where each word's begin."""
+        for low in range(0, len(self.hash), words):
+            high = min(low + words, len(self.hash))
+            first = int(self.gram_start[low])
+            last = int(self.gram_start[high - 1] + self.gram_count[high - 1])
+            yield slice(low, high), self.grams[first:last], self.gram_start[low:high] - first
 
 
 def windows(first: np.ndarray, size: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,14 +131,15 @@ class Network:
     def inputs(self, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
         """Input vector of each distinct word, and its row in the word table."""
         row = self.known(lexicon.hash)
-        many = np.maximum(lexicon.gram_count, 1)[:, None].astype(np.float32)
-        odds = self.gram_odds[lexicon.grams]
         x = np.empty((len(row), INPUTS), np.float32)
         x[:, :DIM] = self.p["words"][row]
-        x[:, DIM : 2 * DIM] = lexicon.over_grams(self.p["grams"][lexicon.grams]) / many
         x[:, 2 * DIM] = self.word_odds[row]
-        x[:, 2 * DIM + 1] = lexicon.over_grams(odds, np.maximum)
-        x[:, 2 * DIM + 2] = lexicon.over_grams(odds) / many[:, 0]
+        for own, grams, starts in lexicon.blocks():  # each word has some n-gram
+            many = lexicon.gram_count[own].astype(np.float32)
+            odds = self.gram_odds[grams]
+            x[own, DIM : 2 * DIM] = np.add.reduceat(self.p["grams"][grams], starts, axis=0) / many[:, None]
+            x[own, 2 * DIM + 1] = np.maximum.reduceat(odds, starts)
+            x[own, 2 * DIM + 2] = np.add.reduceat(odds, starts) / many
         return x, row
 
     def projected(self, x: np.ndarray) -> np.ndarray:
@@ -239,18 +243,35 @@ def window_logits(net: Network, lexicon: Lexicon, start: np.ndarray, size: np.nd
 SMOOTHING = 4.0
 
 
-def _log_odds(present: np.ndarray, label: np.ndarray, width: int) -> np.ndarray:
-    """Log odds of label 1 among the labelled texts that have a feature, against all texts.
+def _log_odds(with_0: np.ndarray, with_1: np.ndarray) -> np.ndarray:
+    """Log odds of label 1 among the texts that have a feature, against all features.
 
     Smoothed towards the share of all, so that a rare feature says little.
     """
-    with_1 = np.bincount(present[label == 1], minlength=width)
-    with_0 = np.bincount(present[label == 0], minlength=width)
-    share = max(1, len(present[label == 1])) / max(2, len(present))
+    share = max(1, with_1.sum()) / max(2, with_1.sum() + with_0.sum())
     odds = np.log((with_1 + SMOOTHING * share) / (with_0 + SMOOTHING * (1 - share))) - np.log(share / (1 - share))
     return np.clip(odds, -4, 4).astype(np.float32)
 
 
+def _feature_counts(lexicon: Lexicon, labels: np.ndarray, half: np.ndarray, texts: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Texts that have each word and each n-gram, by half and label; a block of texts at a time."""
+    n_words, n_grams = len(lexicon.hash), 1 << GRAM_BITS
+    words, grams = np.zeros((2, 2, n_words), np.int32), np.zeros((2, 2, n_grams), np.int32)
+    for low in range(0, len(labels), texts):
+        high = min(low + texts, len(labels))
+        ids = lexicon.ids[lexicon.first[low] : lexicon.first[high]]
+        owner = np.repeat(np.arange(high - low), np.diff(lexicon.first[low : high + 1]))
+        pair = np.unique(owner.astype(np.int64) * max(n_words, 1) + ids)
+        owner, ids = pair // max(n_words, 1), pair % max(n_words, 1)
+        np.add.at(words, (half[low + owner], labels[low + owner], ids), 1)
+        count = lexicon.gram_count[ids]
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lexicon.gram_start[ids], count)
+        pair = np.unique((np.repeat(owner, count) << GRAM_BITS) + lexicon.grams[at])
+        owner = pair >> GRAM_BITS
+        np.add.at(grams, (half[low + owner], labels[low + owner], pair & (n_grams - 1)), 1)
+    return words, grams
+
+
 class _Adam:
     def __init__(self, rate: float):
         self.rate, self.t, self.state = rate, 0, {}
@@ -274,29 +295,17 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, least_steps: int
     """
     data, offsets = textbytes.joined(pa.array(texts, pa.string()))
     lexicon = Lexicon(data, offsets)
-    n_words = max(len(lexicon.hash), 1)
-    owner = np.repeat(np.arange(len(texts)), np.diff(lexicon.first))
-    seen = np.unique(owner.astype(np.int64) * n_words + lexicon.ids)
-    word, text = seen % n_words, seen // n_words
-    spread = np.bincount(word, minlength=len(lexicon.hash))
+    half = np.random.default_rng(seed).permutation(len(texts)) % 2
+    words, grams = _feature_counts(lexicon, labels, half)
+    spread = words.sum((0, 1))
     chosen = np.argsort(-spread, kind="stable")[:most_words]
     chosen = np.sort(chosen[spread[chosen] >= 5])
-    # N-grams of a text: those of its distinct words.
-    gram_word = np.repeat(np.arange(len(lexicon.hash)), lexicon.gram_count)
-    order = np.argsort(word, kind="stable")
-    low = np.searchsorted(word[order], np.arange(len(lexicon.hash) + 1))
-    reps = np.diff(low)[gram_word]
-    at = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(low[:-1][gram_word], reps)
-    pairs = np.unique((text[order][at] << GRAM_BITS) + np.repeat(lexicon.grams, reps))
-    half = np.random.default_rng(seed).permutation(len(texts)) % 2
 
-    def odds(texts_used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w, g = texts_used[text], texts_used[pairs >> GRAM_BITS]
-        of_words = _log_odds(word[w], labels[text[w]], len(lexicon.hash))
-        of_grams = _log_odds(pairs[g] % (1 << GRAM_BITS), labels[pairs[g] >> GRAM_BITS], 1 << GRAM_BITS)
-        return np.concatenate([[0], of_words[chosen]]).astype(np.float32), of_grams
+    def odds(of: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        w, g = words[of].sum(0), grams[of].sum(0)
+        return np.concatenate([[0], _log_odds(*w)[chosen]]).astype(np.float32), _log_odds(*g)
 
-    crossed = [odds(half != k) for k in (0, 1)]
+    crossed = [odds([1 - k]) for k in (0, 1)]
     net = Network.new(lexicon.hash[chosen], *crossed[0], seed)
     who, start, size = windows(lexicon.first)
     rng, adam = np.random.default_rng(seed), _Adam(rate)
@@ -320,7 +329,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, least_steps: int
             net.word_odds, net.gram_odds = crossed[k]
             adam.step(net.p, _batch_gradients(net, lexicon, start[own], size[own], labels[who[own]]))
         epoch, steps = epoch + 1, steps + len(parts)
-    net.word_odds, net.gram_odds = odds(np.ones(len(texts), bool))
+    net.word_odds, net.gram_odds = odds([0, 1])
     return net
 
 
@@ -385,8 +394,8 @@ def score_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    rows_per_label: tuple[int, int] = (3_000, 1_500),
-    most_chars: int = 8_000,
+    rows_per_label: tuple[int, int] = (2_400, 1_200),
+    most_chars: int = 6_000,
 ) -> DataFrame:
     """One row per document: ``id_col, score``, the probability that it is toxic.
 
