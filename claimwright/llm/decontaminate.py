@@ -211,14 +211,15 @@ def scan(probes: Probes, texts: pa.Array, slots: int = 256) -> Iterator[tuple[in
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int) -> Iterator[list[tuple[object, str]]]:
-    block, size = [], 0
+    block, size, blocks = [], 0, 0
     for row in benchmark.select(item_col, text_or_empty(F.col(text_col))).toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1])
         if size >= chars:
             yield block
-            block, size = [], 0
-    yield block
+            block, size, blocks = [], 0, blocks + 1
+    if block or not blocks:  # an empty benchmark is one empty block
+        yield block
 
 
 def find_leaks(
