@@ -12,6 +12,7 @@ And a word met before is looked up in a bounded cache.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from claimwright.llm.common import text_or_empty
 #: Fixed values of the vocabulary format: the mark of a space and the penalty of unknowns.
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 COMMIT_EVERY = 64
 
 
@@ -229,33 +230,42 @@ def encoder_for(path: str) -> Encoder:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col, n_ids, ids, ids_crc32``.
+def _coded(part: pa.RecordBatch, encoder: Encoder, decoded: bool) -> pa.RecordBatch:
+    coded = [encoder.encode(t.as_py()) for t in part.column(1)]
+    sizes = np.array([len(c) // 4 for c in coded], np.int64)
+    flat = np.frombuffer(b"".join(coded), "<i4")
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+    columns = [part.column(0), pa.array(sizes), lists, pa.array([zlib.crc32(c) for c in coded], pa.int64())]
+    names = ["id", "n_ids", "ids", "ids_crc32"]
+    if decoded:
+        texts = (decode_ids(np.frombuffer(c, "<i4"), encoder.v) for c in coded)
+        columns.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()))
+        names.append("decoded_sha256")
+    return pa.RecordBatch.from_arrays(columns, names)
 
-    ``ids_crc32`` is the unsigned crc32 of the ids as little-endian 32-bit integers. Null
-    and empty texts have no ids. Texts of any length are encoded whole. Null ids and
-    repeated rows pass through; extra columns are not read; an empty table gives no rows.
-    ``model`` is a path that each executor can open.
-    """
 
+def _encode(docs: DataFrame, model: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                coded = [encoder.encode(t.as_py()) for t in part.column(1)]
-                sizes = np.array([len(c) // 4 for c in coded], np.int64)
-                flat = np.frombuffer(b"".join(coded), "<i4")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), lists, pa.array([zlib.crc32(c) for c in coded], pa.int64())],
-                    ["id", "n_ids", "ids", "ids_crc32"],
-                )
+            for low in range(0, batch.num_rows, 200):
+                yield _coded(batch.slice(low, 200), encoder, decoded)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
-    out = rows.mapInArrow(run, f"id {id_type}, n_ids bigint, ids array<int>, ids_crc32 bigint")
-    return out.withColumnRenamed("id", id_col)
+    schema = f"id {id_type}, n_ids bigint, ids array<int>, ids_crc32 bigint" + ", decoded_sha256 string" * decoded
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id_col, n_ids, ids, ids_crc32``.
+
+    ``ids_crc32`` is the unsigned crc32 of the ids as little-endian 32-bit integers. Null
+    and empty texts have no ids. Texts of any length are encoded whole. Null ids and
+    repeated rows pass through; extra columns are not read; an empty table gives no rows.
+    ``model`` is a path that each executor can open.
+    """
+    return _encode(docs, model, id_col, text_col, False)
 
 
 def decode(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -278,7 +288,8 @@ def decode(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
 
 
 def encode_and_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encode`` with ``decoded_sha256``, the hash of the text that ``decode`` makes of the ids."""
-    coded = encode(docs, model, id_col, text_col)
-    whole = coded.select(F.struct(*coded.columns).alias("coded"), "ids")
-    return decode(whole, model, "coded").select("coded.*", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    """``encode`` with ``decoded_sha256``, the hash of the text that the ids decode to.
+
+    One pass does both, so a task needs one Python worker and one copy of the vocabulary.
+    """
+    return _encode(docs, model, id_col, text_col, True)
