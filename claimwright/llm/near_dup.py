@@ -87,13 +87,25 @@ class Shingles:
         return out
 
 
+def path_levels(values: np.ndarray) -> np.ndarray:
+    """16 bits of a hash over all 32 bits of each minimum, one level of a path each.
+
+    Minima of long texts are small numbers, so their own leading bits say nothing.
+    """
+    y = values ^ (values >> np.uint32(16))
+    y = y * np.uint32(0x85EBCA6B)
+    y ^= y >> np.uint32(13)
+    y *= np.uint32(0xC2B2AE35)
+    return (y >> np.uint32(16)).astype(">u2")
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high in textbytes.chunks(batch.column(1)):
             part = batch.slice(low, high - low)
             shingles = Shingles(*textbytes.joined(part.column(1)))
             values = shingles.signatures()
-            paths = (values >> np.uint32(16)).astype(">u2")
+            paths = path_levels(values)
             marks = (values & np.uint32(255)).astype(np.uint8)
             has = shingles.count > 0
             yield pa.RecordBatch.from_arrays(

@@ -105,6 +105,36 @@ def test_links_across_task_borders():
     assert [r["vertex"] for r in whole if r["tree"] is not None] == [0, 9]
 
 
+def test_near_copies_among_many_long_texts_are_linked():
+    rng = np.random.default_rng(7)
+    n, words = 300, 120_000
+    letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)
+
+    def text(codes):
+        out = np.full((len(codes), 5), 32, np.uint8)
+        for k in range(4):
+            out[:, k] = letters[(codes >> (4 * k)) & 15]
+        return out.tobytes().decode()
+
+    rows = []
+    for i in range(n):
+        codes = rng.integers(0, 1 << 16, words)
+        rows.append((i, text(codes)))
+        if i % 10 == 0:  # one word in 150 differs: a similarity of about 0.94
+            codes[rng.integers(0, words, words // 150)] = rng.integers(0, 1 << 16, words // 150)
+            rows.append((n + i, text(codes)))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part])], ["id", "text"])
+    signed = pa.Table.from_batches(list(near_dup._sign(batch([r]) for r in rows))).to_pylist()
+    size = 2 * near_dup.DEPTH
+    tries = sorted((t, r["path"][t * size : (t + 1) * size], r["vertex"], r["marks"]) for r in signed for t in range(near_dup.TREES))
+    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary())
+    sorted_rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*tries), kinds)], ["tree", "path", "vertex", "marks"])
+    run = near_dup._neighbours(near_dup.FLOOR, near_dup.DEPTH, near_dup.SIMILARITY - near_dup.SLACK)
+    links = {frozenset((r["u"], r["v"])) for b in run(iter([sorted_rows])) for r in b.to_pylist() if r["u"] is not None}
+    vertex = {r["id"]: r["vertex"] for r in signed}
+    assert links == {frozenset((vertex[i], vertex[n + i])) for i in range(0, n, 10)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(None, 3), (5, 5)]
