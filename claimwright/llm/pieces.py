@@ -53,13 +53,14 @@ class Vocabulary:
         self.unknown = min(s for s, _ in self.pieces.values()) - UNKNOWN_PENALTY
         self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        #: Whether texts may be cut before a space mark, at line breaks and around punctuation.
+        #: Whether texts may be cut before a space mark and at line breaks.
         self.splits_words = not any(b == SPACE and a != SPACE or "\n" in (a, b) for a, b in pairs)
-        letter = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
-        mark = re.compile("[!-/:-@[-`{-~]")
-        self.splits_marks = self.splits_words and not any(
-            letter.match(a) and mark.match(b) or mark.match(a) and letter.match(b) for a, b in pairs
-        )
+        #: Latin letters and all that pieces join to them, directly or through others: no
+        #: piece spans a place between one of these and any other character.
+        self.letters = {chr(c) for c in range(256) if chr(c).isalpha()}
+        joins = [(a, b) for a, b in pairs if SPACE not in (a, b)]
+        while grown := {c for a, b in joins if (a in self.letters) != (b in self.letters) for c in (a, b)} - self.letters:
+            self.letters |= grown
         self.byte_of = {i: bytes([b]) for b, i in self.raw.items()}
         self.text_of = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.pieces.items()}
 
@@ -137,9 +138,6 @@ class StreamingViterbi:
         return out
 
 
-_WORD = re.compile(r" *[^ \n]+|\n| +")
-_L = "A-Za-zÀ-ÖØ-öø-ÿ"
-_MARKED_WORD = re.compile(rf" *[{_L}]+| *[^ \n{_L}]+|\n| +")
 
 
 class Encoder:
@@ -148,10 +146,9 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.words: dict[str, bytes] = {}
-        if vocabulary.splits_marks:
-            self._split = _MARKED_WORD.findall
-        elif vocabulary.splits_words:
-            self._split = _WORD.findall
+        if vocabulary.splits_words:
+            letters = "".join(map(re.escape, sorted(vocabulary.letters - {" ", "\n"})))
+            self._split = re.compile(rf" *[{letters}]+| *[^ \n{letters}]+|\n| +").findall
         else:
             self._split = lambda text: [text]
 

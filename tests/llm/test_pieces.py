@@ -54,6 +54,18 @@ def test_words_and_cache_equal_the_whole_search(vocabulary):
         assert np.frombuffer(encoder.encode(text), "<i4").tolist() == brute(text, vocabulary), repr(text)
 
 
+def test_words_are_cut_only_where_no_piece_joins(vocabulary):
+    encoder = pieces.Encoder(vocabulary)
+    rng = random.Random(8)
+    parts = PARTS + ["œ", "œu", "v", "ł", "a", "ę", "si", "ě", "n", "ș", "ă", "c", "ż", "ő", "ű", "ъ", "ст", "²", "ª", "µ", "ı", "ğ", "’", "–", "…", "ال", "个", "一"]
+    drawn = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1000)]
+    for text in drawn + ["une œuvre du cœur", "był został się ści", "před něco", "că și", "żółć őű ığdır"]:
+        assert np.frombuffer(encoder.encode(text), "<i4").tolist() == brute(text, vocabulary), repr(text)
+    for piece in vocabulary.pieces:
+        for a, b in zip(piece, piece[1:]):
+            assert pieces.SPACE in (a, b) or (a in vocabulary.letters) == (b in vocabulary.letters), piece
+
+
 def test_streaming_commits_early_and_equals_the_whole_search(vocabulary):
     for text in texts(2, 60, 60):
         text = text.replace(pieces.SPACE, "")
