@@ -61,14 +61,18 @@ class WordEncoder:
 
     A byte-level vocabulary never merges across the words of its own split, so a text's
     ids are its words' ids in a row. Texts of characters outside ``_PLAIN``, where the
-    split could differ, and tokenizers of any other make go to the library whole.
+    split could differ, texts that hold an added token, and tokenizers of any other make
+    go to the library whole. ``special_as_text`` is the library's
+    ``encode_special_tokens``; the store leaves it off, as the library does.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
+        self.has_added = re.compile("|".join(re.escape(t.content) for t in added)).search if added else None
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = (
@@ -100,7 +104,7 @@ class WordEncoder:
         return [b"".join([known[w] if w in known else learned[w] for w in words]) for words in split]
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or _PLAIN.fullmatch(text) is None:
+        if not self.by_word or _PLAIN.fullmatch(text) is None or self.has_added and self.has_added(text):
             return self._whole(text).tobytes()
         if text[:1] == " " or text[-1:] == " " or any(x in text for x in ("  ", " \n", "\n ")):
             return self._of_words([_WORDS.findall(text)])[0]
@@ -123,7 +127,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def encoder_for(path: str) -> WordEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, special_as_text=False)
     return _encoders[path]
 
 

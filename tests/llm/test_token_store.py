@@ -41,6 +41,21 @@ def test_word_cache_gives_the_library_s_ids(library):
         assert got == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_special_tokens_are_those_of_the_untouched_library(docs_of, tmp_path):
+    plain = Tokenizer.from_file(BPE)
+    encoder = token_store.encoder_for(BPE)
+    rng = random.Random(2)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "one", " ", "  ", "\n", "'s", "é", "12", "中"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1000)]
+    for text in ["one <|endoftext|> two", *texts]:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == want, repr(text)
+    rows = [(1, "one <|endoftext|> two"), (2, "next")]
+    store = token_store.write_store(docs_of(rows), str(tmp_path / "s"), BPE)
+    got = store.read(store.directory.select("key", "rank"), with_ids=True).orderBy("key").collect()
+    assert [(r["start"], r["ids"]) for r in got] == [(0, [505, 220, 50256, 734, 0]), (5, [*plain.encode("next").ids, 0])]
+
+
 def test_store_reads_back_what_the_library_encodes(spark, docs_of, library, tmp_path):
     rows = [(9, "b c"), (2, None), (5, ""), (7, "word " * 30000), (5, "again"), (None, "null key"), (-3, "é中 😀")]
     store = token_store.write_store(docs_of(rows), str(tmp_path / "s"), BPE)
