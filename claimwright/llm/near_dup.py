@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from claimwright.llm import bloom, textbytes
 from claimwright.llm.common import salted, text_or_empty
 from claimwright.llm.components import components
+from claimwright.llm.words import Words
 from claimwright.session import settle
 
 WORDS, SIMILARITY = 5, 0.8
@@ -46,7 +47,7 @@ class Shingles:
     """Distinct hashed shingles of each text, ascending; texts of fewer words have one."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int = WORDS):
-        words = textbytes.Words(data, offsets)
+        words = Words(data, offsets)
         n = len(offsets) - 1
         self.count = np.diff(words.first)
         h = words.hash
@@ -329,7 +330,8 @@ def near_duplicates(
 
     Two documents are linked if the Jaccard similarity of their sets of five-word
     shingles is at least ``similarity``; words are runs of letters and digits, case
-    folded, and a text of fewer words is one shingle. ``n_links`` counts the linked
+    folded, as in ``words``: by Unicode class, and single characters in scripts without
+    spaces. A text of fewer words is one shingle. ``n_links`` counts the linked
     documents and ``n_texts`` the linked texts other than the document's own word
     sequence. ``class_id`` is the smallest id of the documents that links connect; null
     ids count as members and stay null only where all ids of a class are null. A text

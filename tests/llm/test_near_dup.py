@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from claimwright.llm import components as cc, near_dup, textbytes
+from claimwright.llm import components as cc, near_dup, textbytes, words
 
 
 def words_of(text):
@@ -166,6 +166,38 @@ def test_every_byte_of_a_word_counts():
     assert (textbytes.powers_to(300) % np.uint64(2) == 1).all()
 
 
+def test_words_go_by_unicode_class():
+    def same(*texts):
+        w = words.Words(*textbytes.joined(pa.array(texts)))
+        return [w.hash[a:b].tolist() for a, b in zip(w.first[:-1], w.first[1:])]
+
+    want, *others = same("one two three four", "One\u00a0two\u2014three\u3000four", "\u201cone\u201d two\u2026three\uff0cfour\u3002")
+    assert len(want) == 4 and others == [want, want]
+    for upper, lower in (("ŒUVRE ΑΒΓ ЖУК É", "œuvre αβγ жук é"),):
+        a, b = same(upper, lower)
+        assert a == b and len(a) == 4
+    counts = lambda *t: [len(x) for x in same(*t)]
+    # One word each: Han, kana, Thai letters with their marks; words: Hangul, Hindi with vowel signs.
+    assert counts("中文字。", "ひらがな", "カタ", "กิน", "한국어 말", "हिन्दी भाषा", "abc中12文") == [3, 4, 2, 2, 2, 2, 4]
+    # Marks without a letter, symbols and empty texts hold no words, also behind a text that ends in one.
+    assert counts("a", "\u0301", "❤\ufe0f", None, "", "...", "\U00020000\U00030000") == [1, 0, 0, 0, 0, 0, 2]
+    bad = np.frombuffer(b"ab \xff cd" + b"ef", np.uint8)
+    assert words.Words(bad, np.array([0, 8, 10])).first.tolist() == [0, 2, 3]
+
+
+def test_near_copies_in_scripts_without_spaces_and_with_typographic_marks(docs_of):
+    rng = random.Random(5)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200))
+    plain = [f"w{k}" for k in range(60)]
+    rows = [
+        (1, han), (2, han[:100] + "\u3002" + han[101:]), (3, han[::-1]),
+        (4, " ".join(plain)), (5, "\u00a0".join(plain)), (6, "\u2014".join([*plain[:59], "other"])),
+        (7, "ΕΝΑ ΔΥΟ ΤΡΙΑ"), (8, "ενα δυο τρια"),
+    ]
+    assert result(near_dup.near_duplicates(docs_of(rows))) == [
+        (1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 0, 0), (4, 4, 2, 1), (5, 4, 2, 1), (6, 4, 2, 1), (7, 7, 1, 0), (8, 7, 1, 0)]
+
+
 def test_empty_table_and_long_texts(docs_of):
     assert near_dup.near_duplicates(docs_of([])).count() == 0
     long = " ".join(f"w{k}" for k in range(30000))
