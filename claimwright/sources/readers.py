@@ -189,9 +189,10 @@ def read_results(spark: SparkSession, pattern: str) -> DataFrame:
     """Run records: JSON objects, one or more to a file, indented or one per line.
 
     A record is small and so is a file of them; each file is read whole. Between two
-    records stands a line break and no comma, which never occurs inside one.
+    records stands a line break and no comma, which never occurs inside one. A malformed
+    record is an error.
     """
     files = spark.read.text(pattern, wholetext=True)
     listed = F.regexp_replace(F.trim("value"), r"\}\s*[\r\n]\s*\{", "},{")
-    records = F.from_json(F.concat(F.lit("["), listed, F.lit("]")), ArrayType(schemas.RESULT))
+    records = F.from_json(F.concat(F.lit("["), listed, F.lit("]")), ArrayType(schemas.RESULT), {"mode": "FAILFAST"})
     return files.select(F.explode_outer(records).alias("r")).where("r is not null").select("r.*")

@@ -215,3 +215,9 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_a_cut_result_record_is_an_error(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"accuracy": 0.5}\n{"accuracy": 0.6}\n{"accuracy": 0.')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_results(spark, str(tmp_path / "r.json")).collect()
