@@ -181,3 +181,10 @@ def op5_jaccard_join(spark, sf):
     from claimwright.llm import near_dup
 
     return near_dup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf):
+    from claimwright.llm import whitening
+
+    return whitening.whiten(table(spark, sf, "embeddings"))
