@@ -188,3 +188,37 @@ def op13_whitening(spark, sf):
     from claimwright.llm import whitening
 
     return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query(
+    "op11_ranked_search",
+    r"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS r, doc_id, terms
+      FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents)
+      WHERE len(terms) > 0),
+    total AS (SELECT count(*)::BIGINT AS nd, sum(len(terms))::BIGINT AS nl FROM docs),
+    held AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+    asked AS (
+      SELECT item_id, term, count(*)::BIGINT AS times
+      FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+      GROUP BY item_id, term),
+    weights AS (
+      SELECT term, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+      FROM held, total WHERE term IN (SELECT term FROM asked) GROUP BY term),
+    scored AS (
+      SELECT item_id, r, doc_id,
+             sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(terms)::BIGINT * nd) // nl))))::BIGINT AS score
+      FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN docs USING (r), total
+      GROUP BY item_id, r, doc_id)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+    WHERE rank <= 10
+    """,
+)
+def op11_ranked_search(spark, sf):
+    from claimwright.llm import ranked_search
+
+    return ranked_search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

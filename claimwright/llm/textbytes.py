@@ -56,6 +56,11 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def ascii_folded(data: np.ndarray) -> np.ndarray:
+    """Lower case for A-Z only."""
+    return _lower[data]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixer."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -77,14 +82,14 @@ def powers_to(n: int) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: runs of letters, digits and non-ASCII bytes, case folded.
+    """The words of some texts: runs of letters, digits and non-ASCII bytes, folded by ``fold``.
 
     ``start`` and ``size`` place a word in ``data``, ``hash`` is 64 bits wide, and the
     words of text ``i`` are ``first[i]:first[i + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data = folded(data)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold=folded):
+        self.data = fold(data)
         mask = _in_word[data]
         begins = mask.copy()
         begins[1:] &= ~mask[:-1]
