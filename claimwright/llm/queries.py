@@ -222,3 +222,10 @@ def op11_ranked_search(spark, sf):
     from claimwright.llm import ranked_search
 
     return ranked_search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_permutation_index")
+def op12_permutation_index(spark, sf):
+    from claimwright.llm import permutation_index
+
+    return permutation_index.neighbours(table(spark, sf, "embeddings"))
