@@ -20,6 +20,8 @@ from claimwright.llm import samples, textbytes
 from claimwright.llm.common import text_or_empty
 
 FEATURES = 4096
+#: Parts that the sampling of one language is spread over.
+SALTS = 64
 UNDETERMINED = "und"
 
 _classes = np.zeros(256, np.uint32)
@@ -90,15 +92,9 @@ class Codes:
         return best, ranked[:, -1], lead
 
 
-def fit_codes(x: np.ndarray, labels: list[str], steps: int = 150, rate: float = 0.15, decay: float = 1e-5) -> Codes:
-    """Logistic bit classifiers by Adam over all rows; rows of rare languages weigh more."""
-    languages = sorted(set(labels))
-    words = codewords(len(languages))
-    number = {name: k for k, name in enumerate(languages)}
-    y = np.array([number[name] for name in labels])
-    target = words[y].astype(np.float32)
-    weight = (1 / np.bincount(y)[y] / len(languages)).astype(np.float32)[:, None]
-    w, b = np.zeros((x.shape[1], words.shape[1]), np.float32), np.zeros(words.shape[1], np.float32)
+def fit_bits(x: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic bit classifiers by Adam over all rows."""
+    w, b = np.zeros((x.shape[1], target.shape[1]), np.float32), np.zeros(target.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         pull = -target * weight / (1 + np.exp(target * (x @ w + b)))
@@ -106,8 +102,29 @@ def fit_codes(x: np.ndarray, labels: list[str], steps: int = 150, rate: float =
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         b -= rate * pull.sum(0)
-    right = (np.sign(x @ w + b) == target).astype(np.float32)
-    accuracy = np.clip((right * weight).sum(0), 0.5, 1 - 1e-3)
+    return w, b
+
+
+def fit_codes(x: np.ndarray, labels: list[str], steps: int = 150, rate: float = 0.15, decay: float = 1e-5) -> Codes:
+    """Bit classifiers fitted on all rows, rows of rare languages weighing more.
+
+    A bit weighs by how often it is right on rows that it was not fitted on: every fifth
+    row is held out from a first, shorter fit.
+    """
+    languages = sorted(set(labels))
+    words = codewords(len(languages))
+    number = {name: k for k, name in enumerate(languages)}
+    y = np.array([number[name] for name in labels])
+    target = words[y].astype(np.float32)
+    weight = (1 / np.bincount(y)[y] / len(languages)).astype(np.float32)[:, None]
+    held = np.random.default_rng(3).permutation(len(x)) % 5 == 0
+    if held.all() or not held.any():
+        held[:] = False
+    trial_w, trial_b = fit_bits(x[~held], target[~held], weight[~held], max(steps // 3, 1), rate, decay)
+    # Add-one: a bit that a few held-out rows all agree on is not taken for certain.
+    right = (np.sign(x[held] @ trial_w + trial_b) == target[held]).sum(0)
+    accuracy = np.clip((right + 1) / (held.sum() + 2), 0.5, None)
+    w, b = fit_bits(x, target, weight, steps, rate, decay)
     return Codes(languages, words, w, b, np.log(accuracy / (1 - accuracy)) + 1e-3)
 
 
@@ -115,11 +132,15 @@ def training_rows(
     docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int, max_rows: int
 ) -> tuple[np.ndarray, list[str]]:
     """Features and languages of the sample; each row is of fixed size whatever its text."""
-    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    # Ranking within a bound becomes a limit before the shuffle.
-    picked = known.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= rows_per_language)
-    texts = samples.with_texts(docs, samples.bounded(picked, max_rows), id_col, text_col)
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
+    by_hash = lambda *keys: Window.partitionBy(*keys).orderBy(F.xxhash64("__id"), "__id")
+    # First the smallest hashes of each language within its salts, which becomes a limit
+    # before the shuffle; then those of the language, from so many rows at most.
+    salted = known.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    few = salted.withColumn("__n", F.dense_rank().over(by_hash("__lang", "__salt"))).where(F.col("__n") <= rows_per_language)
+    few = few.groupBy("__lang", "__id").agg(F.first("__n").alias("__m"))
+    picked = few.withColumn("__n", F.row_number().over(by_hash("__lang"))).where(F.col("__n") <= rows_per_language)
+    texts = samples.with_texts(docs, samples.bounded(picked.select("__id", "__lang"), max_rows), id_col, text_col, {"__lang": lang_col})
 
     def featurise(batches):
         for batch in batches:
@@ -159,8 +180,9 @@ def identify(
 ) -> DataFrame:
     """One row per document: ``id_col, lang_pred, score, ambiguous``.
 
-    Learns from ``training``: at most ``rows_per_language`` rows of each language, chosen
-    by hash of the id, and ``max_rows`` in all. ``score`` is the share of the winner
+    Learns from ``training``: at most ``rows_per_language`` ids of each language, chosen
+    by hash of the id, and ``max_rows`` in all; a repeated id counts once for each of its
+    languages, with its smallest text of that language. ``score`` is the share of the winner
     among all languages by loss; ``ambiguous`` says that it leads the second by less than
     ``min_lead``. A text that is null or has no letter gets ``und`` with score 0 and is
     ambiguous; so does every text when nothing could be learnt. Repeated rows and null

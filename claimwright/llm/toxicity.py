@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from claimwright.llm import samples, textbytes
 from claimwright.llm.common import text_or_empty
@@ -26,7 +26,8 @@ WINDOW, STRIDE = 48, 36
 HIDDEN, DIM = 8, 6
 GRAM_BITS, GRAMS = 15, (3, 4, 5)
 BLOCK = 2048
-DECAY = 1e-3
+#: Decay of the vectors of words and n-grams, as a share of the mean loss of so many texts.
+DECAY = 2.6
 INPUTS = 2 * DIM + 3
 
 
@@ -112,7 +113,9 @@ class Network:
             "attend": normal(2 * HIDDEN, HIDDEN, s=0.3),
             "pick": normal(HIDDEN, s=0.3),
             "out": normal(2 * HIDDEN, s=0.3),
-            "bias": np.zeros(1, np.float32),
+            "bias": np.full(1, -2, np.float32),
+            # The largest log odds in a window speaks from the start; the rest is learnt beside it.
+            "skip": np.full(1, 1, np.float32),
         }
         for way in "fb":
             p[f"in_{way}"] = normal(INPUTS, 3 * HIDDEN, s=0.3)
@@ -182,13 +185,14 @@ class Network:
         logits = pooled @ p["out"] + p["bias"][0]
         return (logits, states, a, w, pooled, trace) if keep else logits
 
-    def gradients(self, table: np.ndarray, ids: np.ndarray, mask: np.ndarray, label: np.ndarray):
-        """Loss and gradients of the shared weights and of the rows of ``table``."""
+    def gradients(self, table: np.ndarray, ids: np.ndarray, mask: np.ndarray, label: np.ndarray, top: np.ndarray | float = 0.0):
+        """Loss and gradients of the shared weights and of the rows of ``table``; ``top`` are the windows' largest log odds."""
         p, h, n = self.p, HIDDEN, len(ids)
         logits, states, a, w, pooled, trace = self.forward(table, ids, mask, keep=True)
+        logits = logits + p["skip"][0] * top
         chance = _sigmoid(logits)
         pull = ((chance - label) / n).astype(np.float32)
-        g = {"out": pooled.T @ pull, "bias": pull.sum(keepdims=True)}
+        g = {"out": pooled.T @ pull, "bias": pull.sum(keepdims=True), "skip": (pull * top).sum(keepdims=True)}
         d_pooled = pull[:, None] * p["out"]
         d_states = w[:, :, None] * d_pooled
         d_w = (states * d_pooled).sum(2)
@@ -227,16 +231,17 @@ def _padded(ids: np.ndarray, start: np.ndarray, size: np.ndarray, pad: int) -> t
 
 
 def window_logits(net: Network, lexicon: Lexicon, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    table = net.projected(net.inputs(lexicon)[0])
-    out = np.empty(len(start), np.float32)
+    x = net.inputs(lexicon)[0]
+    table = net.projected(x)
+    out = net.p["skip"][0] * largest_odds(x, lexicon, start, size)
     full = size == WINDOW
     for rows, whole in ((np.flatnonzero(full), True), (np.flatnonzero(~full), False)):
         for low in range(0, len(rows), BLOCK):
             own = rows[low : low + BLOCK]
             if whole:
-                out[own] = net.forward(table, lexicon.ids[start[own, None] + np.arange(WINDOW)], None)
+                out[own] += net.forward(table, lexicon.ids[start[own, None] + np.arange(WINDOW)], None)
             else:
-                out[own] = net.forward(table, *_padded(lexicon.ids, start[own], size[own], len(lexicon.hash)))
+                out[own] += net.forward(table, *_padded(lexicon.ids, start[own], size[own], len(lexicon.hash)))
     return out
 
 
@@ -285,7 +290,7 @@ class _Adam:
             p[k] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, least_steps: int = 350, batch: int = 128, rate: float = 0.01, seed: int = 5, most_words: int = 20_000) -> Network:
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, least_steps: int = 150, batch: int = 64, rate: float = 0.01, seed: int = 5, most_words: int = 20_000) -> Network:
     """Train on texts with labels 0 and 1; both must occur.
 
     Word vectors exist for the ``most_words`` words that occur in most training texts.
@@ -327,13 +332,13 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, least_steps: int
         for turn in rng.permutation(len(parts)):
             k, own = parts[turn]
             net.word_odds, net.gram_odds = crossed[k]
-            adam.step(net.p, _batch_gradients(net, lexicon, start[own], size[own], labels[who[own]]))
+            adam.step(net.p, _batch_gradients(net, lexicon, start[own], size[own], labels[who[own]], DECAY / len(texts)))
         epoch, steps = epoch + 1, steps + len(parts)
     net.word_odds, net.gram_odds = odds([0, 1])
     return net
 
 
-def _batch_gradients(net: Network, lexicon: Lexicon, start: np.ndarray, size: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+def _batch_gradients(net: Network, lexicon: Lexicon, start: np.ndarray, size: np.ndarray, label: np.ndarray, decay: float) -> dict[str, np.ndarray]:
     ids, mask = _padded(lexicon.ids, start, size, -1)
     used, local = np.unique(ids, return_inverse=True)
     local = local.reshape(ids.shape)
@@ -341,13 +346,14 @@ def _batch_gradients(net: Network, lexicon: Lexicon, start: np.ndarray, size: np
         used, local = used[1:], np.where(ids == -1, len(used) - 1, local - 1)
     part = _part(lexicon, used)
     x, row = net.inputs(part)
-    _, g, d_table = net.gradients(net.projected(x), local, mask, label.astype(np.float32))
+    top = np.append(x[:, 2 * DIM : 2 * DIM + 2].max(1), -9).astype(np.float32)[np.where(mask, local, -1)].max(1)
+    _, g, d_table = net.gradients(net.projected(x), local, mask, label.astype(np.float32), top)
     h = 3 * HIDDEN
     d_x = d_table[:, :h] @ net.p["in_f"].T + d_table[:, h:] @ net.p["in_b"].T
     for way, cols in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
         g[f"in_{way}"], g[f"b_{way}"] = x.T @ d_table[:, cols], d_table[:, cols].sum(0)
     # A little decay keeps the vectors of rare words and n-grams small.
-    g["words"], g["grams"] = DECAY * net.p["words"], DECAY * net.p["grams"]
+    g["words"], g["grams"] = decay * net.p["words"], decay * net.p["grams"]
     np.add.at(g["words"], row[row > 0], d_x[row > 0, :DIM])
     share = d_x[:, DIM : 2 * DIM] / np.maximum(part.gram_count, 1)[:, None]
     np.add.at(g["grams"], part.grams, np.repeat(share, part.gram_count, axis=0))
@@ -364,9 +370,8 @@ def _part(lexicon: Lexicon, used: np.ndarray) -> Lexicon:
     return part
 
 
-def window_odds(net: Network, lexicon: Lexicon, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For the first epoch: the largest log odds of a word in each window."""
-    x, _ = net.inputs(lexicon)
+def largest_odds(x: np.ndarray, lexicon: Lexicon, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The largest log odds of a word or n-gram in each window, from the inputs of its words."""
     worst = np.append(x[:, 2 * DIM : 2 * DIM + 2].max(1), -9).astype(np.float32)
     out = np.empty(len(start), np.float32)
     for low in range(0, len(start), BLOCK):
@@ -375,6 +380,11 @@ def window_odds(net: Network, lexicon: Lexicon, start: np.ndarray, size: np.ndar
     return out
 
 
+def window_odds(net: Network, lexicon: Lexicon, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For the first epoch: the largest log odds of a word in each window."""
+    return largest_odds(net.inputs(lexicon)[0], lexicon, start, size)
+
+
 def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     """Probability for each text; 0 for a text without words."""
     out = np.zeros(len(texts))
@@ -388,6 +398,14 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     return out
 
 
+def excerpt(text: Column, most_chars: int, parts: int = 8) -> Column:
+    """The text, or of a longer one ``parts`` pieces evenly spread from its start to its end."""
+    size = most_chars // parts - 1
+    step = (F.length(text) - size) / (parts - 1)
+    pieces = [F.substring(text, (step * k).cast("int") + 1, F.lit(size)) for k in range(parts)]
+    return F.when(F.length(text) <= most_chars, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def score_toxicity(
     docs: DataFrame,
     labelled: DataFrame,
@@ -401,7 +419,8 @@ def score_toxicity(
 
     ``labelled`` has ids of ``docs`` with labels 0 and 1 (null labels are left out, of
     repeated ids the larger counts). The network is fitted on at most ``rows_per_label``
-    texts of label 0 and of label 1, chosen by hash of the id, of at most ``most_chars`` characters;
+    texts of label 0 and of label 1, chosen by hash of the id; of a text longer than
+    ``most_chars`` it learns from pieces spread over all of it, and of a repeated id from one text;
     scoring covers every window of every text. Without rows of both labels every score
     is 0. A null text, or one without words, scores 0. Null ids and repeated rows pass
     through; extra columns are not read; an empty table gives no rows.
@@ -410,12 +429,12 @@ def score_toxicity(
         labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
         .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     )
-    short = docs.where(F.length(F.col(text_col)) <= most_chars).select(F.col(id_col).alias("__id")).distinct()
-    fit_for = known.join(short, "__id", "left_semi")
+    fit_for = known.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
     picked = samples.bounded(fit_for.where("__label = 1"), rows_per_label[1]).unionAll(
         samples.bounded(fit_for.where("__label = 0"), rows_per_label[0])
     )
-    rows = samples.with_texts(docs.where(F.length(F.col(text_col)) <= most_chars), picked, id_col, text_col).collect()
+    read = docs.select(id_col, excerpt(text_or_empty(F.col(text_col)), most_chars).alias("__excerpt"))
+    rows = samples.with_texts(read, picked, id_col, "__excerpt").collect()
     rows.sort(key=lambda r: (r["__id"], r["__text"]))
     labels = np.array([r["__label"] for r in rows], np.int64)
     both = len(set(labels.tolist())) == 2

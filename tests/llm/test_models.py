@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from claimwright.llm import language_id, quality, textbytes, toxicity
+from pyspark.sql import functions as F
+
+from claimwright.llm import language_id, quality, samples, textbytes, toxicity
 from claimwright.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -142,3 +144,37 @@ def test_toxicity_of_odd_rows_and_long_texts(spark, docs_of):
     assert got[1] == got[2] == got[3] == 0 and len(got) == len({i for i, _ in ODD + rows + test})
     assert toxicity.score_toxicity(docs_of([]), marks).count() == 0
     assert {r["score"] for r in toxicity.score_toxicity(docs, marks.where("toxic = 1")).collect()} == {0.0}
+
+
+def test_samples_keep_their_bound_under_repeated_ids(spark):
+    rows = [(i, f"text {i} {k}", lang) for i in range(12) for k in range(5) for lang in ("en", "de" if i % 2 else "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
+    x, langs = language_id.training_rows(docs, "doc_id", "text", "lang", 8, 13)
+    assert len(x) == len(langs) == 13 and max(map(langs.count, set(langs))) <= 8
+    x, langs = language_id.training_rows(docs, "doc_id", "text", "lang", 100, 100)
+    assert sorted(langs) == ["de"] * 6 + ["en"] * 12
+    picked = spark.createDataFrame([(3, True), (5, False), (99, True)], "__id bigint, trusted boolean")
+    got = samples.with_texts(docs, picked, "doc_id", "text").collect()
+    assert sorted((r["__id"], r["trusted"], r["__text"]) for r in got) == [(3, True, "text 3 0"), (5, False, "text 5 0")]
+
+
+def test_long_texts_are_learnt_in_pieces(spark):
+    text = "".join(chr(97 + k * 26 // 80_000) for k in range(80_000))
+    frame = spark.createDataFrame([(text,), ("short",), ("",)], "t string")
+    long, short, empty = [r[0] for r in frame.select(toxicity.excerpt(F.col("t"), 6_000)).collect()]
+    assert (short, empty) == ("short", "") and 5_900 < len(long) <= 6_000
+    assert len(long.split(" ")) == 8 and long[0] == "a" and long[-1] == "z"
+
+
+def test_decoding_equals_a_plain_loop():
+    rng = np.random.default_rng(7)
+    words = language_id.codewords(5)
+    x = rng.random((40, language_id.FEATURES)).astype(np.float32)
+    codes = language_id.Codes(list("abcde"), words, rng.normal(size=(language_id.FEATURES, words.shape[1])).astype(np.float32), rng.normal(size=words.shape[1]).astype(np.float32), rng.uniform(0.1, 3, words.shape[1]))
+    best, share, lead = codes.decode(x)
+    for row, b, s, d in zip(x, best, share, lead):
+        margin = row @ codes.weights + codes.bias
+        losses = [sum(w * np.log1p(np.exp(-c * m)) for w, c, m in zip(codes.trust / codes.trust.sum(), word, margin)) for word in words]
+        odds = np.exp((min(losses) - np.array(losses)) * words.shape[1])
+        odds = np.sort(odds / odds.sum())
+        assert b == int(np.argmin(losses)) and s == pytest.approx(odds[-1], abs=1e-3) and d == pytest.approx(odds[-1] - odds[-2], abs=1e-3)
