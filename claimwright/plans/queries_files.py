@@ -3,6 +3,7 @@
 Everything goes to a fresh path in the session's shared folder.
 """
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -12,7 +13,7 @@ from claimwright.operators import cleaning, metrics, rationale, split, summaries
 from claimwright.plans import bindings as B
 from claimwright.plans.registry import query
 from claimwright.session import scratch_path, settle
-from claimwright.sources import readers, sinks
+from claimwright.sources import readers, sinks, versions
 
 
 
@@ -129,6 +130,33 @@ def materialized_cache(spark, sf):
     )
 
 
+@query(
+    "replaced_table",
+    """SELECT which, lang, count(*) AS n, CAST(sum(n_chars + shift) AS BIGINT) AS total FROM documents,
+      (VALUES ('now', 2), ('before', 1)) AS v(which, shift) GROUP BY which, lang""",
+)
+def replaced_table(spark, sf):
+    # Three versions, the later ones made from the one before; a write that fails half-way in
+    # between, and a reader that started before the last commit.
+    path = scratch_path(spark, "replaced")
+    sinks.write_stage(B.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), path)
+
+    def shifted(fail=False):
+        more = F.when(F.col("doc_id") == 0, F.raise_error(F.lit("stopped"))).otherwise(1) if fail else F.lit(1)
+        return versions.read(spark, path).withColumn("n_chars", F.col("n_chars") + more)
+
+    sinks.write_stage(shifted(), path)
+    try:
+        sinks.write_stage(shifted(fail=True), path)
+    except PySparkException as stopped:
+        if "stopped" not in str(stopped):
+            raise
+    before = versions.read(spark, path)
+    sinks.write_stage(shifted(), path)
+    both = before.withColumn("which", F.lit("before")).unionByName(versions.read(spark, path).withColumn("which", F.lit("now")))
+    return both.groupBy("which", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"))
+
+
 @query(
     "variant_tables",
     f"""WITH {B.TOKENS_SQL}, {B.sql_split('docs', 'lang')}
@@ -140,7 +168,7 @@ def variant_tables(spark, sf):
     rows = split.length_variants(split.stratified_split(docs, ["lang"]), "tokens")
     path = scratch_path(spark, "variants")
     sinks.write_variants(rows.drop("tokens"), path)
-    stored = spark.read.parquet(path)
+    stored = versions.read(spark, path)
     return stored.groupBy("L", "split").agg(
         F.count("*").alias("n"), F.sum(F.size("truncated_tokens")).alias("kept_tokens")
     )
@@ -155,7 +183,7 @@ def split_tables(spark, sf):
     rows = settle(B.order_claims(spark, sf).select("row_id", "binary_label"))
     path = scratch_path(spark, "splits")
     sinks.write_splits(split.stratified_split(rows, ["binary_label"]), path)
-    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
+    return versions.read(spark, path).groupBy("split").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StructType
 from claimwright import schemas
 from claimwright.functions import labels as L
 from claimwright.session import broadcast_if_small, settle
+from claimwright.sources import versions
 
 MAX_BLOCKS = 500_000
 # Parts of a snapshot file name
@@ -90,7 +91,7 @@ def read_header_csv(spark: SparkSession, path: str, schema: StructType) -> DataF
         .option("enforceSchema", False)
         .option("escape", '"')
         .option("multiLine", True)
-        .csv(path)
+        .csv(versions.location(spark, path))
     )
 
 
@@ -182,7 +183,7 @@ def read_snapshots(spark: SparkSession, folder: str, text: str = SNAPSHOT_TEXT)
 
 def read_arrays(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Chosen columns of a feature or mask table; the others are never read."""
-    return spark.read.parquet(path).select(*columns)
+    return spark.read.parquet(versions.location(spark, path)).select(*columns)
 
 
 def read_results(spark: SparkSession, pattern: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from claimwright import schemas
 from claimwright.operators import concept_rows
 from claimwright.functions import concepts as C
-from claimwright.sources import readers, sinks
+from claimwright.sources import readers, sinks, versions
 
 
 def _line(*cells):
@@ -108,8 +108,9 @@ def test_variants_are_one_folder_per_length_and_split(spark, tmp_path):
         F.when(F.col("id") < 15, "train").otherwise("test").alias("split"),
     )
     sinks.write_variants(frame, str(tmp_path / "v"))
-    assert {p.name for p in (tmp_path / "v" / "L=128").iterdir()} == {"split=train", "split=test"}
-    assert spark.read.parquet(str(tmp_path / "v")).filter("split = 'test'").count() == 5
+    (folder,) = (tmp_path / "v").glob("data-*/L=128")
+    assert {p.name for p in folder.iterdir()} == {"split=train", "split=test"}
+    assert versions.read(spark, str(tmp_path / "v")).filter("split = 'test'").count() == 5
 
 
 def test_schema_check(spark):
