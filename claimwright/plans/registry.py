@@ -30,5 +30,6 @@ def load_all() -> None:
         queries_features,
         queries_files,
         queries_jobs,
+        queries_streaming,
         queries_text,
     )

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StructType
 from claimwright import schemas
 from claimwright.functions import labels as L
 from claimwright.session import broadcast_if_small, settle
-from claimwright.sources import versions
+from claimwright.sources import records, versions
 
 MAX_BLOCKS = 500_000
 # Parts of a snapshot file name
@@ -60,39 +60,44 @@ def read_political_tsv(
     """The header-less claim files, in the given order, with ``row_id``.
 
     ``quoted`` honours double quotes with doubled-quote escapes. By default a quoted field
-    may span lines, for which a file is one task. ``multi_line=False`` splits files; it
-    fails on rows of another width, as a line break inside quotes would leave.
+    may span lines; files are cut into blocks all the same (:mod:`claimwright.sources.records`).
+    ``multi_line=False`` saves the pass that finds out how blocks start; it fails on rows of
+    another width, as a line break inside quotes would leave.
     """
-    reader = (
-        spark.read.schema(schemas.RAW_POLITICAL)
-        .option("sep", "\t")
-        .option("quote", '"' if quoted else "\0")
-        .option("escape", '"' if quoted else "\0")
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE" if multi_line else "FAILFAST")
-    )
-    scan = reader.csv(paths)
     # Whole paths, since two folders may hold files of the same name. One entry per input.
     place = F.lit(len(paths))
-    found = F.concat(F.regexp_replace("_metadata.file_path", r"^file:/+", "/"), F.lit("/"))
+    spanning = quoted and multi_line
+    found = F.concat(F.regexp_replace("path" if spanning else "_metadata.file_path", r"^file:/+", "/"), F.lit("/"))
     for i, path in reversed(list(enumerate(paths))):
         own = re.sub(r"^file:/+", "/", path.rstrip("/")) + "/"
         place = F.when(F.url_decode(F.regexp_replace(found, r"\+", "%2B")).startswith(own), i).otherwise(place)
-    numbered = with_row_id(scan, place, schemas.POLITICAL_COLUMNS)
+    if spanning:
+        rows = records.read_records(spark, paths, "\t", place)
+        columns = records.fields(F.col("record"), schemas.RAW_POLITICAL, "\t")
+        numbered = rows.select("row_id", columns.alias("f")).select("row_id", *[F.col(f"f.{c}") for c in schemas.POLITICAL_COLUMNS])
+    else:
+        reader = (
+            spark.read.schema(schemas.RAW_POLITICAL)
+            .option("sep", "\t")
+            .option("quote", '"' if quoted else "\0")
+            .option("escape", '"' if quoted else "\0")
+            .option("mode", "FAILFAST" if quoted else "PERMISSIVE")
+        )
+        numbered = with_row_id(reader.csv(paths), place, schemas.POLITICAL_COLUMNS)
     texts = ["label", "statement", "subject", "speaker", "party", "context"]
     return numbered.withColumns({c: L.null_if_marker(F.col(c)) for c in texts})
 
 
 def read_header_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A stage table stored as CSV; the header is checked against the schema."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .csv(versions.location(spark, path))
-    )
+    """A stage table stored as CSV; each file's header is checked against the schema."""
+    scan = records.lines(spark, versions.location(spark, path), ",")
+    blocks = records.survey(scan)
+    for row in blocks.select("header").where("header is not null").distinct().collect():
+        names = records.header_names(row["header"], ",")
+        if [n.lower() for n in names] != [n.lower() for n in schema.names]:
+            raise ValueError(f"{path}: the header {names} is not {schema.names}")
+    rows = records.records_of(scan, records.numbered(blocks, F.col("path"), True), True)
+    return rows.select(records.fields(F.col("record"), schema, ",").alias("f")).select("f.*")
 
 
 def classify_snapshot(name):
@@ -116,26 +121,38 @@ def _snapshot_paths(spark: SparkSession, folder: str) -> list[str]:
     return sorted({unquote(f[: f.index(SNAPSHOT_SUFFIX) + len(SNAPSHOT_SUFFIX)]) for f in found})
 
 
-def _headers(spark: SparkSession, folder: str) -> dict[str, tuple]:
-    return {
-        path: tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
-        for path in _snapshot_paths(spark, folder)
-    }
+def _snapshots(spark: SparkSession, folder: str, text: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Lines of all snapshot files, their numbered blocks, and the place of ``text`` in each header that has it.
+
+    One pass over the files; the driver sees their distinct headers only.
+    """
+    scan = records.lines(spark, _snapshot_paths(spark, folder), ",")
+    blocks = records.survey(scan).withColumn("source_file", _source_file(F.col("path")))
+    headers = [r["header"] for r in blocks.select("header").where("header is not null").distinct().collect()]
+    names = {h: records.header_names(h, ",") for h in headers}
+    places = {h: n.index(text) for h, n in names.items() if text in n}
+    return scan, records.numbered(blocks, F.col("source_file"), True, F.col("header").isin(list(places))), places
+
+
+def _source_file(path):
+    return F.regexp_extract(path, rf"([^/]*{SNAPSHOT_SUFFIX.replace('.', '[.]')})", 1)
 
 
 def snapshot_report(spark: SparkSession, folder: str, text: str = SNAPSHOT_TEXT) -> DataFrame:
     """One row per snapshot file: ``source_file, subset, label, rows, skipped``.
 
-    ``skipped`` says why a file is left out, and is null for files that are read.
+    ``skipped`` says why a file is left out, and is null for files that are read. Only the
+    table of file blocks is used; no record is made.
     """
-    counts = read_snapshots(spark, folder, text).groupBy("source_file").agg(F.count("*").alias("rows"))
-    names = [(path.rsplit("/", 1)[-1], text in header) for path, header in _headers(spark, folder).items()]
-    files = spark.createDataFrame(names, "source_file string, has_text boolean")
+    _, blocks, _ = _snapshots(spark, folder, text)
+    files = blocks.groupBy(_source_file(F.col("path")).alias("source_file")).agg(
+        F.max(F.col("before") >= 0).alias("has_text"), F.sum("records").alias("rows")
+    )
     subset, label = classify_snapshot(F.col("source_file"))
     why = F.when(~F.col("has_text"), f"no column {text}").when(subset.isNull(), "name does not classify")
-    return files.join(counts, "source_file", "left").select(
+    return files.select(
         "source_file", subset.alias("subset"), label.alias("label"),
-        F.when(why.isNull(), F.coalesce("rows", F.lit(0))).alias("rows"), why.alias("skipped"),
+        F.when(why.isNull(), F.col("rows")).alias("rows"), why.alias("skipped"),
     )
 
 
@@ -144,38 +161,24 @@ def read_snapshots(spark: SparkSession, folder: str, text: str = SNAPSHOT_TEXT)
 
     A file without the text column is skipped, as is one whose name does not say
     both what it holds and whether that is fake; ``snapshot_report`` lists them. A file
-    that cannot be read fails the job. Only headers are read on the driver, once per
-    file; files with the same header share one scan.
+    that cannot be read fails the job. All files are one scan, cut into blocks of any
+    size; quoted fields may span lines.
     """
-    by_header: dict[tuple, list[str]] = {}
-    for path, header in _headers(spark, folder).items():
-        if text in header:
-            by_header.setdefault(header, []).append(path)
-    scans = []
-    name = F.regexp_extract(
-        F.col("_metadata.file_path"), rf"([^/]*{SNAPSHOT_SUFFIX.replace('.', '[.]')})", 1
-    )
-    for header, paths in by_header.items():
-        schema = StructType().add(header[0], "string")
-        for column in header[1:]:
-            schema = schema.add(column, "string")
-        scan = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("escape", '"')
-            .option("multiLine", True)
-            .csv(paths)
-        )
-        scans.append(scan.select(F.col(text).alias("statement"), name.alias("source_file"), "_metadata"))
-    if not scans:
+    scan, blocks, places = _snapshots(spark, folder, text)
+    if not places:
         raise ValueError(f"no snapshot in {folder} has a column {text!r}")
-    rows = scans[0]
-    for scan in scans[1:]:
-        rows = rows.unionByName(scan)
+    rows = records.records_of(scan, blocks, True)
+    statement = F.lit(None).cast("string")
+    for header, place in places.items():
+        schema = StructType()
+        for k in range(place + 1):
+            schema = schema.add(f"c{k}", "string")
+        statement = F.when(F.col("header") == header, records.fields(F.col("record"), schema, ",")[f"c{place}"]).otherwise(statement)
+    source = _source_file(F.col("path"))
     subset, label = classify_snapshot(F.col("source_file"))
-    numbered = with_row_id(rows, F.col("source_file"), ["statement", "source_file"])
+    found = rows.select("row_id", statement.alias("statement"), source.alias("source_file"))
     return (
-        numbered.withColumns({"subset": subset, "label": label})
+        found.withColumns({"subset": subset, "label": label})
         .withColumn("statement", L.null_if_marker(F.col("statement")))
         .filter(F.col("subset").isNotNull())
     )
