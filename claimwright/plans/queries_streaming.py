@@ -7,6 +7,8 @@ from claimwright.plans.registry import query
 from claimwright.streaming import claims as stream
 
 WINDOW, DELAY = "24 hours", "48 hours"
+#: The day of document 0. A watermark starts at day 0, before which all rows are late.
+FIRST_DAY = 10_000
 
 _RATES_SQL = f"""base AS (
   SELECT doc_id, doc_id // 24 AS day, {B.sql_clean_basic('text')} AS clean FROM documents WHERE text IS NOT NULL),
@@ -32,11 +34,11 @@ FROM s WHERE day + 1 <= (SELECT max(doc_id) FROM base) / 24 - 2"""
 def _events(spark, sf):
     """One document an hour, in the order of its id."""
     docs = B.table(spark, sf, "documents")
-    return docs.select(F.timestamp_seconds(F.col("doc_id") * 3600).alias("event_time"), F.col("text").alias("statement"), "doc_id")
+    return docs.select(F.timestamp_seconds(F.col("doc_id") * 3600 + FIRST_DAY * 86400).alias("event_time"), F.col("text").alias("statement"), "doc_id")
 
 
 def _by_day(rates):
-    day = F.floor(F.unix_seconds("window_start") / 86400).cast("long")
+    day = F.floor(F.unix_seconds("window_start") / 86400).cast("long") - FIRST_DAY
     return rates.select(day.alias("day"), *[c for c in rates.columns if not c.startswith("window")])
 
 
