@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimwright import constants as K
 from claimwright.functions import arrays as A
+from claimwright.sources import versions
 
 
 def join_parts(parts: list[DataFrame], key: str = "row_id") -> DataFrame:
@@ -16,6 +17,22 @@ def join_parts(parts: list[DataFrame], key: str = "row_id") -> DataFrame:
     return out
 
 
+def join_stored_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Inner join of tables stored in buckets of one key: bucket meets bucket, nothing is shuffled.
+
+    The tables must have been written with the same key and number of buckets.
+    """
+    layouts = {(v.note.get("key"), v.note.get("buckets")) for v in (versions.current(spark, p) for p in paths) if v}
+    if len(layouts) != 1 or (None, None) in layouts:
+        raise ValueError(f"parts are stored by different keys or in different numbers of buckets: {sorted(layouts, key=str)}")
+    ((key, _),) = layouts
+    out = versions.read_bucketed(spark, paths[0])
+    for path in paths[1:]:
+        # The hint keeps Spark from sending a part to all tasks where it is small.
+        out = out.join(versions.read_bucketed(spark, path).hint("merge"), key)
+    return out
+
+
 def alignment_gaps(a: DataFrame, b: DataFrame, key: str = "row_id") -> DataFrame:
     """Keys without a partner in each direction; both counts must be 0."""
     only_a = a.select(key).join(b.select(key), key, "left_anti").select(F.lit("first").alias("side"))

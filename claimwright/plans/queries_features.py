@@ -7,7 +7,8 @@ from claimwright.functions import arrays as A, concepts as C, labels as L
 from claimwright.operators import align, metadata, pooling, split, summaries, vocab
 from claimwright.plans import bindings as B
 from claimwright.plans.registry import query
-from claimwright.session import settle
+from claimwright.session import scratch_path, settle
+from claimwright.sources import versions
 
 # -- vocabularies -----------------------------------------------------------------
 
@@ -310,18 +311,30 @@ def subword_mask_by_join(spark, sf):
 # -- joins by key ------------------------------------------------------------------------
 
 
-@query(
-    "join_parts_by_key",
-    """SELECT d.doc_id AS row_id, d.n_chars, l.quality, l.toxic, e.label AS grp FROM documents d
-    JOIN labels l ON d.doc_id = l.doc_id JOIN embeddings e ON d.doc_id = e.vec_id""",
-)
-def join_parts_by_key(spark, sf):
+_PARTS_SQL = """SELECT d.doc_id AS row_id, d.n_chars, l.quality, l.toxic, e.label AS grp FROM documents d
+    JOIN labels l ON d.doc_id = l.doc_id JOIN embeddings e ON d.doc_id = e.vec_id"""
+
+
+def _parts(spark, sf):
     docs = B.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "n_chars")
     labels = B.table(spark, sf, "labels").withColumnRenamed("doc_id", "row_id")
     vectors = B.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.col("label").alias("grp")
     )
-    return align.join_parts([docs, labels, vectors])
+    return [docs, labels, vectors]
+
+
+@query("join_parts_by_key", _PARTS_SQL)
+def join_parts_by_key(spark, sf):
+    return align.join_parts(_parts(spark, sf))
+
+
+@query("join_stored_parts", _PARTS_SQL)
+def join_stored_parts(spark, sf):
+    paths = [scratch_path(spark, "part") for _ in range(3)]
+    for part, path in zip(_parts(spark, sf), paths):
+        versions.replace_bucketed(part, path, "row_id", 8)
+    return align.join_stored_parts(spark, paths)
 
 
 @query(

@@ -13,6 +13,7 @@ number one moves on to the next, so the later commit is the current one.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -20,6 +21,7 @@ from dataclasses import asdict, dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 MANIFEST = "_manifest"
 TRIES = 100
@@ -156,3 +158,47 @@ def expire(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
     for data in {v.data for v in old} - still:
         files.delete(_path(spark, f"{path}/{data}"), True)
     return [v.number for v in old]
+
+
+def _table_name(folder: str) -> str:
+    return f"claimwright_{hashlib.md5(folder.encode()).hexdigest()}"
+
+
+def replace_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> Version:
+    """Write ``df`` as the next version of a table that is stored by the hash of ``key``.
+
+    One shuffle when it is written saves one in every join on the key with a table of as
+    many buckets. The rows of a bucket are sorted and lie in one file.
+    """
+    spark = df.sparkSession
+
+    def write(folder: str) -> None:
+        dealt = df.repartition(buckets, key)
+        writer = dealt.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", folder)
+        writer.saveAsTable(_table_name(folder))
+
+    note = {"key": key, "buckets": buckets, "schema": df.schema.json()}
+    return commit(spark, path, stage(path, write), "parquet", note)
+
+
+def read_bucketed(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """A version written by ``replace_bucketed``, as a table whose buckets Spark knows.
+
+    The session's catalog gets an entry for the version's folder if it has none yet, so a
+    table that another session wrote is read the same way.
+    """
+    path = path.rstrip("/")
+    found = current(spark, path, number)
+    if found is None or "buckets" not in found.note:
+        raise ValueError(f"{path} is not stored in buckets")
+    folder = f"{path}/{found.data}"
+    name = _table_name(folder)
+    if not spark.catalog.tableExists(name):
+        quoted = lambda c: "`" + c.replace("`", "``") + "`"
+        columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in StructType.fromJson(json.loads(found.note["schema"])))
+        key, buckets = quoted(found.note["key"]), found.note["buckets"]
+        place = folder.replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{place}'"
+        )
+    return spark.table(name)

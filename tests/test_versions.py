@@ -5,6 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from claimwright.operators import align
 from claimwright.sources import readers, sinks, versions
 
 
@@ -101,3 +102,45 @@ def test_observed_and_plain_fingerprints_agree(spark, tmp_path):
     frame = rows(spark, 25).withColumn("w", F.array("v", "row_id"))
     sinks.materialize(frame, str(tmp_path / "t"), width="w")
     assert versions.current(spark, str(tmp_path / "t")).note["fingerprint"] == sinks.fingerprint(frame, "row_id", "w").first().asDict()
+
+
+def parts(spark, tmp_path, buckets=(4, 4, 4)):
+    paths = [str(tmp_path / f"part{k}") for k in range(3)]
+    for k, (path, n) in enumerate(zip(paths, buckets)):
+        frame = rows(spark, 60 + 10 * k, k).withColumnRenamed("v", f"v{k}")
+        versions.replace_bucketed(frame, path, "row_id", n)
+    return paths
+
+
+def plan_of(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_parts_join_without_a_shuffle(spark, tmp_path):
+    paths = parts(spark, tmp_path)
+    joined = align.join_stored_parts(spark, paths)
+    plain = align.join_parts([versions.read(spark, p) for p in paths])
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, plain.collect())) and joined.count() == 60
+    plan = plan_of(joined)
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") >= 2
+    assert "Exchange" in plan_of(plain)
+
+
+def test_another_session_finds_the_buckets(spark, tmp_path):
+    paths = parts(spark, tmp_path)
+    for path in paths:
+        folder = versions.location(spark, path)
+        spark.sql(f"DROP TABLE {versions._table_name(folder)}")
+    assert "Exchange" not in plan_of(align.join_stored_parts(spark, paths))
+    assert align.join_stored_parts(spark, paths).count() == 60
+
+
+def test_parts_of_other_layouts_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="buckets"):
+        align.join_stored_parts(spark, parts(spark, tmp_path, (4, 8, 4)))
+    sinks.write_stage(rows(spark, 3), str(tmp_path / "plain"))
+    with pytest.raises(ValueError, match="buckets"):
+        versions.read_bucketed(spark, str(tmp_path / "plain"))
+    with pytest.raises(ValueError, match="buckets"):
+        align.join_stored_parts(spark, [str(tmp_path / "plain")])
