@@ -1,19 +1,20 @@
-"""Batch encoding, a weighted classifier on Spark ML, batch scoring and faithfulness."""
+"""Batch encoding, a weighted classifier, batch scoring, attribution and faithfulness."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimwright import constants as K
 from claimwright.functions import arrays as A, maths as M
+from claimwright.operators import linear
 from claimwright.operators.metrics import class_scores, confusion, with_class_weight
-from claimwright.session import settle
+from claimwright.session import broadcast_if_small
+from claimwright.sources import versions
 
 
 def hashed_projection(dim: int = 64) -> Callable:
@@ -92,16 +93,37 @@ def encode_slots(
     return slots.mapInPandas(run, f"{key} {kind}, slot int, word int, vec array<float>")
 
 
-def _features(df: DataFrame, tokens: str, meta: str | None) -> DataFrame:
-    """Tokens as they are; metadata gated by ``has_meta`` and turned into a vector."""
-    if meta is None:
-        return df
-    return df.withColumn("_meta", array_to_vector(A.gate(F.col(meta), F.col("has_meta"))))
+def macro_f1_values(predictions: DataFrame, models: int) -> list[float]:
+    """Macro-F1 of each model from ``margins``: one confusion count for all of them."""
+    long = predictions.select("label", F.posexplode("margins").alias("model", "z"))
+    cells = confusion(long.select("model", "label", (F.col("z") > 0).cast("int").alias("pred")), ["model"])
+    rows = class_scores(cells, ["model"]).groupBy("model").agg(F.avg("f1").alias("f1")).collect()
+    of = {r["model"]: r["f1"] for r in rows}
+    return [of.get(k) or 0.0 for k in range(models)]
 
 
-def macro_f1_value(predictions: DataFrame) -> float:
-    """Macro-F1 as a number: the aggregate of one row is all that reaches the driver."""
-    return class_scores(confusion(predictions)).agg(F.avg("f1")).first()[0] or 0.0
+def fit_best(
+    train: DataFrame,
+    val: DataFrame,
+    runs: dict[str, tuple[str, bool]],
+    tokens: str = "truncated_tokens",
+    meta: str | None = "meta",
+    grid: tuple = (0.001, 0.01, 0.1),
+    most_words: int = linear.MOST_WORDS,
+) -> dict[str, tuple[linear.Models, float]]:
+    """For each run the model of the grid value with the best val macro-F1, and that score.
+
+    ``runs`` names each run's weight column and whether it sees metadata. All runs and grid
+    values are fitted and scored in the same passes (:mod:`claimwright.operators.linear`).
+    """
+    settings = [linear.Setting(name, reg, weight, use_meta) for name, (weight, use_meta) in runs.items() for reg in grid]
+    models = linear.fit_models(train, settings, tokens, meta, most_words)
+    scores = macro_f1_values(linear.margins(models, val, tokens, meta), len(settings))
+    best = {}
+    for k, setting in enumerate(settings):
+        if setting.name not in best or scores[k] > best[setting.name][1]:
+            best[setting.name] = (models.pick(k), scores[k])
+    return best
 
 
 def fit_classifier(
@@ -110,58 +132,56 @@ def fit_classifier(
     tokens: str = "truncated_tokens",
     meta: str | None = "meta",
     grid: tuple = (0.001, 0.01, 0.1),
-    most_words: int = 1 << 18,
-) -> tuple[PipelineModel, float]:
+    most_words: int = linear.MOST_WORDS,
+) -> tuple[linear.Models, float]:
     """Class-weighted logistic regression; the grid value with the best val macro-F1 wins.
 
     Text features are word counts over the ``most_words`` words that occur in most train
-    rows; ``meta=None`` leaves the metadata out.
-
-    Features and weights are computed once and written out, and every fit reads
-    that table: training passes repeat over stored rows.
+    rows; ``meta=None`` leaves the metadata out. Features are made once and every
+    pass, which serves all grid values, reads them from a stored table.
     """
-    train = settle(_features(with_class_weight(train), tokens, meta))
-    val = settle(_features(val, tokens, meta))
-    parts = ["_text"] + (["_meta"] if meta else [])
-    best = None
-    for reg in grid:
-        stages = [
-            CountVectorizer(inputCol=tokens, outputCol="_text", vocabSize=most_words),
-            VectorAssembler(inputCols=parts, outputCol="features"),
-            LogisticRegression(
-                labelCol="label", weightCol="class_weight", regParam=reg, maxIter=25
-            ),
-        ]
-        model = Pipeline(stages=stages).fit(train)
-        score = macro_f1_value(score_rows(model, val, tokens, None))
-        if best is None or score > best[1]:
-            best = (model, score)
-    return best
+    weighed = with_class_weight(train)
+    return fit_best(weighed, val, {"": ("class_weight", meta is not None)}, tokens, meta, grid, most_words)[""]
 
 
 def score_rows(
-    model: PipelineModel, df: DataFrame, tokens: str = "truncated_tokens", meta: str | None = "meta"
+    model: linear.Models, df: DataFrame, tokens: str = "truncated_tokens", meta: str | None = "meta"
 ) -> DataFrame:
     """Add logits, prediction and confidence; rows stay in their partitions."""
-    drop = ["_text", "_meta", "features", "rawPrediction", "probability", "prediction"]
-    scored = model.transform(_features(df, tokens, meta))
-    raw = vector_to_array("rawPrediction")
-    out = scored.withColumns({"logit0": raw[0], "logit1": raw[1]}).drop(*drop)
-    return out.withColumns(
-        {
-            "pred": M.predicted_class(F.col("logit0"), F.col("logit1")),
-            "conf": M.confidence(F.col("logit0"), F.col("logit1")),
-        }
-    )
+    scored = linear.margins(model, df, tokens, meta)
+    return linear.with_verdict(scored, F.col("margins")[0]).drop("margins")
+
 
+def save_classifier(model: linear.Models, path: str) -> None:
+    """Make the best model the current version at ``path``; an older one stays until then."""
+    spark = SparkSession.getActiveSession()
+    dims = len(model.coefficients) - len(model.words)
+    names = pa.array([*model.words, *[None] * dims], pa.string())
+    rows = pa.table({"no": np.arange(len(names)), "word": names, "coefficient": model.coefficients[:, 0]})
+    (setting,) = model.settings
+    note = {"intercept": float(model.intercepts[0]), "setting": asdict(setting)}
+    versions.replace(spark.createDataFrame(rows), path, note=note)
 
-def save_classifier(model: PipelineModel, path: str) -> None:
-    """Write the best model, replacing an older one."""
-    model.write().overwrite().save(path)
 
+def load_classifier(path: str) -> linear.Models:
+    spark = SparkSession.getActiveSession()
+    version = versions.current(spark, path)
+    rows = versions.read(spark, path, version.number).orderBy("no").toArrow()
+    words = [w for w in rows.column("word").to_pylist() if w is not None]
+    coefficients = rows.column("coefficient").to_numpy()[:, None]
+    return linear.Models(words, coefficients, np.array([version.note["intercept"]]), (linear.Setting(**version.note["setting"]),))
 
-def load_classifier(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+
+def attributions(model: linear.Models, rows: DataFrame, tokens: str = "truncated_tokens", key: str = "row_id", pred: str = "pred") -> DataFrame:
+    """What each word adds to the log odds of the predicted class: ``(key, pos, word, adds)``.
+
+    A word counts once each time it occurs, so a row's words sum up to its log odds
+    without metadata and intercept. Words that the model doesn't know add 0.
+    """
+    known = broadcast_if_small(linear.coefficient_table(rows.sparkSession, model), linear.MOST_WORDS)
+    long = rows.select(key, F.col(pred).alias("_pred"), F.posexplode(tokens).alias("pos", "word")).join(known, "word", "left")
+    sign = F.when(F.col("_pred") == 1, 1.0).otherwise(-1.0)
+    return long.select(key, "pos", "word", (sign * F.coalesce("coefficient", F.lit(0.0))).alias("adds"))
 
 
 def channel_scores(tags: str) -> dict:
@@ -174,7 +194,7 @@ def channel_scores(tags: str) -> dict:
 
 
 def faithfulness(
-    model: PipelineModel, df: DataFrame, tokens: str = "truncated_tokens", tags: str = "concept_tags", meta: str | None = "meta"
+    model: linear.Models, df: DataFrame, tokens: str = "truncated_tokens", tags: str = "concept_tags", meta: str | None = "meta"
 ) -> DataFrame:
     """Average probability of the full-text prediction under three token variants.
 

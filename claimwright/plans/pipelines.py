@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from claimwright import constants as K, schemas
 from claimwright.functions import arrays as A, concepts as C, labels as L, text as T
@@ -133,6 +133,36 @@ def training_table(corpus: DataFrame) -> DataFrame:
     return settle(align.join_parts([rows, meta]))
 
 
+def balanced_weights(train: DataFrame, seed: int | None, out: str) -> DataFrame:
+    """``(row_id, out)``: copies that balancing by ``seed`` makes of a row, times its class weight.
+
+    Weights stand for repeated rows, so that runs of all seeds share one table. Without a
+    seed every row counts once.
+    """
+    if seed is None:
+        copies = train.select("row_id", "label", F.lit(1).alias("_n"))
+    else:
+        drawn = sampling.balanced_exact(train.select("row_id", "label", "has_meta"), seed=seed)
+        copies = drawn.groupBy("row_id", "label").agg(F.count("*").alias("_n"))
+    cells = copies.groupBy("label").agg(F.sum("_n").alias("_c"))
+    totals = cells.agg(F.sum("_c").alias("_all"), F.count("*").alias("_k"))
+    weight = F.col("_n") * F.col("_all") / (F.col("_k") * F.col("_c"))
+    sized = cells.crossJoin(totals)  # one row beside one row a class
+    return copies.join(F.broadcast(sized), "label").select("row_id", weight.alias(out))
+
+
+def train_runs(table: DataFrame, runs: list[tuple[int, bool]], balance: bool = True, grid: tuple = (0.001, 0.01, 0.1)):
+    """Fits the runs ``(seed, use_meta)`` together; for each the best model of the grid and its val score."""
+    train = table.filter(F.col("split") == "train")
+    seeds = sorted({seed for seed, _ in runs}) if balance else [None]
+    for k, seed in enumerate(seeds):
+        train = train.join(balanced_weights(table.filter(F.col("split") == "train"), seed, f"_w{k}"), "row_id", "left")
+    column = {seed: f"_w{seeds.index(seed if balance else None)}" for seed, _ in runs}
+    named = {f"{seed}-{use_meta}": (column[seed], use_meta) for seed, use_meta in runs}
+    best = model.fit_best(train, table.filter(F.col("split") == "val"), named, grid=grid)
+    return [best[f"{seed}-{use_meta}"] for seed, use_meta in runs]
+
+
 def train_and_score(
     corpus: DataFrame,
     balance: bool = True,
@@ -147,13 +177,8 @@ def train_and_score(
     features. ``table`` is the ``training_table`` of ``corpus`` where it is known already.
     """
     table = training_table(corpus) if table is None else table
-    meta = "meta" if use_meta else None
-    train = table.filter(F.col("split") == "train")
-    if balance:
-        train = sampling.balanced_exact(train, seed=seed)
-    fitted, score = model.fit_classifier(train, table.filter(F.col("split") == "val"), meta=meta, grid=grid)
-    scored = model.score_rows(fitted, table.filter(F.col("split") == "test"), meta=meta)
-    return fitted, score, scored
+    ((fitted, score),) = train_runs(table, [(seed, use_meta)], balance, grid)
+    return fitted, score, model.score_rows(fitted, table.filter(F.col("split") == "test"))
 
 
 def result_record(scored: DataFrame, val_score: float, **facts) -> DataFrame:
@@ -206,10 +231,27 @@ def attention_rows(scored: DataFrame, tokens: str = "truncated_tokens", tags: st
     )
 
 
-def curated_cards(scored: DataFrame, n: int = 8) -> DataFrame:
-    """Cards of ``n`` good examples spread over domains and classes."""
+def attribution_rows(scored: DataFrame, fitted, tokens: str = "truncated_tokens", tags: str = "concept_tags") -> DataFrame:
+    """As ``attention_rows``, by what each word adds to the log odds of the predicted class."""
+    adds = model.attributions(fitted, scored, tokens)
+    masks = F.array(*[F.struct(F.lit(c).alias("channel"), A.channel_mask(F.col(tags), c).alias("mask")) for c in K.CHANNELS])
+    inside = scored.select("row_id", F.explode(masks).alias("c")).select("row_id", "c.channel", F.posexplode("c.mask").alias("pos", "in"))
+    # One channel of one text, at most as many rows as it has words.
+    own = Window.partitionBy("row_id", "channel")
+    weight = F.when(F.col("in") > 0, F.exp("adds"))
+    both = inside.join(adds, ["row_id", "pos"]).withColumn("_w", weight)
+    alpha = F.coalesce(F.col("_w") / F.sum("_w").over(own), F.lit(0.0))
+    return both.select("row_id", "channel", "pos", "word", alpha.alias("alpha"), F.lit(1).alias("real"))
+
+
+def curated_cards(scored: DataFrame, n: int = 8, fitted=None) -> DataFrame:
+    """Cards of ``n`` good examples spread over domains and classes.
+
+    With the model that scored them, words rank by what they added to its verdict.
+    """
     chosen = curate.round_robin(curate.good_examples(scored), n)
-    tops = rationale.top_words_long(attention_rows(chosen), ["row_id", "channel"])
+    ranked = attention_rows(chosen) if fitted is None else attribution_rows(settle(chosen), fitted)
+    tops = rationale.top_words_long(ranked, ["row_id", "channel"])
     best = F.array_sort(
         F.collect_list(F.struct("nth", "word", "alpha"))  # at most four words
     )

@@ -149,15 +149,15 @@ def classifier_report(spark, sf):
 
 @query("training_runs")
 def training_runs(spark, sf):
-    # Three seeds with and without metadata, summed up per setting.
+    # Three seeds with and without metadata, fitted in the same passes and summed up per setting.
     table = pipelines.training_table(settle(merged(spark, sf)))
+    settings = [(seed, use_meta) for use_meta in (True, False) for seed in (41, 42, 43)]
+    test = table.filter(F.col("split") == "test")
     records = None
-    for use_meta in (True, False):
-        for seed in (41, 42, 43):
-            _, score, scored = pipelines.train_and_score(table, grid=(0.1,), use_meta=use_meta, seed=seed, table=table)
-            tag = "merged_meta" if use_meta else "merged_text"
-            one = pipelines.result_record(settle(scored), score, tag=tag, seed=seed, use_meta=use_meta)
-            records = one if records is None else records.unionByName(one)
+    for (seed, use_meta), (fitted, score) in zip(settings, pipelines.train_runs(table, settings, grid=(0.1,))):
+        tag = "merged_meta" if use_meta else "merged_text"
+        one = pipelines.result_record(settle(model.score_rows(fitted, test)), score, tag=tag, seed=seed, use_meta=use_meta)
+        records = one if records is None else records.unionByName(one)
     return runs.seed_summary(records)
 
 
@@ -170,5 +170,5 @@ def faithfulness(spark, sf):
 
 @query("classifier_cards")
 def classifier_cards(spark, sf):
-    _, _, scored = trained(spark, sf)
-    return pipelines.curated_cards(settle(scored))
+    fitted, _, scored = trained(spark, sf)
+    return pipelines.curated_cards(settle(scored), fitted=fitted)
