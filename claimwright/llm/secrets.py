@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,12 +30,13 @@ BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 MIN_ASSIGNED, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
-#: Wider kinds, kept only where ownership says that they look live.
+#: Wider kinds, kept only where ownership says that they look live. Of ``jwt``
+#: the pattern is one part: a token is three parts joined by dots, see ``_jwts``.
 WIDE = (
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", "gh"),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", "xox"),
     ("google", r"AIza[A-Za-z0-9_-]{35}", "AIza"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", "eyJ"),
+    ("jwt", r"[A-Za-z0-9_-]+", "eyJ"),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", "PRIVATE KEY"),
     ("url_login", r"://[^\s/:@]+:[^\s/:@]+@", "://"),
 )
@@ -75,15 +77,57 @@ def _random_looking(value: str) -> bool:
     return classes == 3 and entropy(value) >= MIN_ENTROPY
 
 
+def _jwts(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """``eyJ`` and 8 or more characters, a dot, 8 or more, a dot, 1 or more, leftmost first.
+
+    Goes from run to run of these characters, since a pattern that starts at each ``eyJ``
+    would read a long run without a dot once for each of them.
+    """
+    runs = [m.span() for m in pattern.finditer(text)]
+    k = 0
+    while k + 2 < len(runs):
+        (a, b), (c, d), (e, f) = runs[k : k + 3]
+        start = text.find("eyJ", a, b)
+        if start >= 0 and b - start >= 11 and c == b + 1 and text[b] == "." and d - c >= 8 and e == d + 1 and text[d] == ".":
+            yield start, f
+            k += 3
+        else:
+            k += 1
+
+
+class _Taken:
+    """Disjoint intervals in order; a query and an addition are a binary search each."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((s[1], s[2]) for s in spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Take ``a:b`` if no interval overlaps it."""
+        k = bisect_right(self.ends, a)
+        if k < len(self.starts) and self.starts[k] < b:
+            return False
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
 def wide_spans(text: str, taken: list[Span]) -> list[Span]:
     """Candidates of the wider kinds outside spans already taken, the first kind first."""
     found: list[Span] = []
-    free = lambda a, b: all(b <= s[1] or s[2] <= a for s in (*taken, *found))
+    used = _Taken(taken)
     for kind, pattern, needs in _wide:
         if needs in text:
-            found += [(kind, m.start(), m.end(), m[0]) for m in pattern.finditer(text) if free(m.start(), m.end())]
+            matches = _jwts(pattern, text) if kind == "jwt" else (m.span() for m in pattern.finditer(text))
+            found += [(kind, a, b, text[a:b]) for a, b in matches if used.add(a, b)]
     for m in _entropy.finditer(text):
-        if _random_looking(m[0]) and free(m.start(), m.end()):
+        if _random_looking(m[0]) and used.add(*m.span()):
             found.append(("entropy", m.start(), m.end(), m[0]))
     return found
 

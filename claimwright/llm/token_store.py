@@ -66,7 +66,7 @@ class WordEncoder:
     ``encode_special_tokens``; the store leaves it off, as the library does.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -127,7 +127,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def encoder_for(path: str) -> WordEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path, special_as_text=False)
+        _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
@@ -340,20 +340,32 @@ class TokenStore:
             return np.frombuffer(f.read(int(cols["n_ids"][at]) * self.width), f"<u{self.width}").astype(np.uint32)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI; a plain path is one of Spark's default file system.
+
+    On a cluster whose default is each machine's own disk a plain path would send every
+    shard to another disk, which is an error; a disk that all share is named ``file:///...``.
+    """
+    plain = re.match("[A-Za-z][A-Za-z0-9+.-]*:", folder) is None
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if plain and whole.startswith("file:") and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"{folder} is a folder of each machine; name a shared one by its URI")
+    return re.sub(r"^file:/+", "file:///", whole)
+
+
 def write_store(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> TokenStore:
     """Encode every whole text and write shards and index to ``folder``.
 
-    ``folder`` is a path or URI that every executor reaches. Null and empty texts have
+    ``folder`` is a URI that every executor reaches, or a path of Spark's default file system. Null and empty texts have
     only the end id, if any. Rows that repeat a key are told apart by their rank among
     its rows, in order of text; a null key sorts first and is found like any other. An
     empty table gives a store without shards. Extra columns are not read.
     """
     spark = docs.sparkSession
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
-    folder = re.sub(r"^file:/+", "file:///", folder)
+    folder = qualified(spark, folder)
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
     key_type = docs.schema[id_col].dataType.simpleString()

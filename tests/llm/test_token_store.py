@@ -33,7 +33,7 @@ def test_perfect_hash_numbers_keys_without_gaps():
 def test_word_cache_gives_the_library_s_ids(library):
     rng = random.Random(1)
     parts = ["the", " ", "  ", "\n", "\n\n", "'s", "'ll", "é", "Ñandú", "12", "3.5", "!!", "&&&", "<|endoftext|>", "x'T", "_", "-", "a b", "中", "\t", "\u00a0", "😀", "٣", "²"]
-    encoder = token_store.WordEncoder(BPE)
+    encoder = token_store.WordEncoder(BPE, special_as_text=True)
     for k in range(3000):
         pool = parts if k % 3 else parts[:17]
         text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 15)))
@@ -82,3 +82,12 @@ def test_empty_table(docs_of, tmp_path):
     store = token_store.write_store(docs_of([]), str(tmp_path / "s"), BPE)
     assert store.read(store.directory.select("key", "rank")).count() == 0
     assert store.lookup(1) is None
+
+
+def test_plain_folders_belong_to_the_default_file_system(spark, monkeypatch):
+    assert token_store.qualified(spark, "/tmp/x/y") == "file:///tmp/x/y"
+    assert token_store.qualified(spark, "file:/tmp/x") == "file:///tmp/x"
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="shared"):
+        token_store.qualified(spark, "/shared/x")
+    assert token_store.qualified(spark, "file:///shared/x") == "file:///shared/x"
