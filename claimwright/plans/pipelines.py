@@ -157,6 +157,7 @@ def train_runs(table: DataFrame, runs: list[tuple[int, bool]], balance: bool = T
     seeds = sorted({seed for seed, _ in runs}) if balance else [None]
     for k, seed in enumerate(seeds):
         train = train.join(balanced_weights(table.filter(F.col("split") == "train"), seed, f"_w{k}"), "row_id", "left")
+    train = settle(train)
     column = {seed: f"_w{seeds.index(seed if balance else None)}" for seed, _ in runs}
     named = {f"{seed}-{use_meta}": (column[seed], use_meta) for seed, use_meta in runs}
     best = model.fit_best(train, table.filter(F.col("split") == "val"), named, grid=grid)
