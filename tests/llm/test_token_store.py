@@ -87,7 +87,7 @@ def test_empty_table(docs_of, tmp_path):
 def test_plain_folders_belong_to_the_default_file_system(spark, monkeypatch):
     assert token_store.qualified(spark, "/tmp/x/y") == "file:///tmp/x/y"
     assert token_store.qualified(spark, "file:/tmp/x") == "file:///tmp/x"
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="shared"):
         token_store.qualified(spark, "/shared/x")
     assert token_store.qualified(spark, "file:///shared/x") == "file:///shared/x"
