@@ -29,7 +29,11 @@ _CHUNK = 64
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Word lists of a tagger. They go into the plan, so they must stay small."""
+    """Word lists of a tagger and the length of a scope.
+
+    The functions here put the lists into the plan and walk three steps; what is not
+    ``inline`` is tagged by :mod:`claimwright.operators.concept_rows`.
+    """
 
     emotion: tuple = field(default_factory=lambda: tuple(K.EMOTION_TERMS))
     modality: tuple = field(default_factory=lambda: tuple(K.MODALITY_TERMS))
@@ -39,11 +43,10 @@ class Lexicon:
     negation_suffix: str = "n't"
     steps: int = K.SCOPE_STEPS
 
-    def __post_init__(self):
-        if sum(map(len, (self.emotion, self.modality, self.negation, self.skip))) > 20_000:
-            raise ValueError("lexicon too large to inline")
-        if self.steps != 3:
-            raise ValueError("the fold carries exactly three scope slots")
+    @property
+    def inline(self) -> bool:
+        """Whether the word lists fit into a plan and the fold's three slots suffice."""
+        return self.steps == 3 and sum(map(len, (self.emotion, self.modality, self.negation, self.skip))) <= 20_000
 
 
 def token_key(token: Column) -> Column:
@@ -100,6 +103,8 @@ def _tables() -> tuple[Column, Column]:
 def concept_codes(tokens: Column, lexicon: Lexicon | None = None) -> Column:
     """``cue * 10 + reach`` per token, reach being the type of the cue that covers it."""
     lexicon = lexicon or Lexicon()
+    if not lexicon.inline:
+        raise ValueError("long word lists and other scopes go through operators.concept_rows")
     following, reach = _tables()
     # The key goes through a lambda variable so that it is computed once per token.
     keyed = F.transform(tokens, lambda t: F.struct(t.alias("t"), token_key(t).alias("k")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from claimwright import constants as K, schemas
 from claimwright.functions import arrays as A, concepts as C, labels as L, text as T
-from claimwright.operators import align, cleaning, curate, dedup, metadata, metrics, model, rationale
+from claimwright.operators import align, cleaning, concept_rows, curate, dedup, metadata, metrics, model, rationale
 from claimwright.operators import sampling, split, vocab
 from claimwright.session import settle
 
@@ -26,12 +26,12 @@ def tag_claims(
     Tags depend only on earlier tokens, so tagging once at the longest length and
     slicing gives the tags of every shorter one.
     """
-    return (
+    rows = (
         cleaning.normalize_political(clean)
         .withColumn("tokens", T.tokenize(F.col("normalized_text")))
         .withColumn("truncated_tokens", A.head(F.col("tokens"), length))
-        .withColumn("concept_tags", C.concept_tags(F.col("truncated_tokens"), lexicon))
     )
+    return concept_rows.with_tags(rows, "truncated_tokens", lexicon or C.Lexicon(), "concept_tags")
 
 
 def political_corpus(raw: DataFrame, lexicon: C.Lexicon | None = None, seed=K.SEED) -> DataFrame:
