@@ -31,7 +31,7 @@ PIVOTS, KEPT, ASKED = 256, 128, 32
 #: Rows looked at for pivots, chosen by hash.
 PIVOT_SAMPLE = 1024
 #: Queries whose true neighbours set the share to rerank, and the part of these to be found.
-PROBES, WANTED = 64, 0.95
+PROBES, WANTED = 256, 0.96
 #: Rows of a shard and queries of a block, on average.
 SHARD_ROWS, QUERY_ROWS = 8192, 8192
 #: Rows reranked at once for one query.
@@ -113,9 +113,6 @@ class InvertedFiles:
         if not take:
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         rows = np.argpartition(key, take - 1)[:take] if take < len(key) else np.arange(len(key))
-        if share >= 1:
-            rank = np.empty(len(key), np.int64)
-            rank[np.argsort(key)] = np.arange(len(key))
         score = np.concatenate([(self.vectors[rows[a : a + RERANK_ROWS]] * query).sum(axis=1) for a in range(0, take, RERANK_ROWS)])
         if take > k:
             # All rows at the k-th score stay, so that ties are settled by id.
@@ -123,7 +120,7 @@ class InvertedFiles:
             rows, score = rows[good], score[good]
         best = np.lexsort((rows, -score))[:k]
         rows, score = rows[best], score[best]
-        return rows, score, (rank[rows] + 1) / len(key) if share >= 1 else np.zeros(len(rows))
+        return rows, score, (key <= key[rows][:, None]).sum(axis=1) / len(key) if share >= 1 else np.zeros(len(rows))
 
 
 def _packed(table: np.ndarray) -> pa.Array:
