@@ -37,7 +37,7 @@ def loop(tokens, steps):
 def tags(spark, rows, steps, size):
     frame = spark.createDataFrame(list(enumerate(rows)), "row_id int, t array<string>")
     got = {}
-    for r in R.tag_table(frame, "t", R.lexicon_table(spark, LEX), steps=steps, size=size).orderBy("row_id", "pos").collect():
+    for r in R.tag_table_by_chunks(frame, "t", R.lexicon_table(spark, LEX), steps=steps, size=size).orderBy("row_id", "pos").collect():
         got.setdefault(r["row_id"], []).append(r["tag"])
         assert r["pos"] == len(got[r["row_id"]]) - 1
     return [got.get(i, []) for i in range(len(rows))]
@@ -51,7 +51,7 @@ def test_any_scope_and_chunk_size_equals_a_loop(spark, steps, size):
 
 def test_tokens_are_not_sorted(spark):
     frame = spark.createDataFrame(list(enumerate(texts(2, 40, 600))), "row_id int, t array<string>")
-    out = R.tag_table(frame, "t", R.lexicon_table(spark, LEX))
+    out = R.tag_table_by_chunks(frame, "t", R.lexicon_table(spark, LEX))
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and ("Sort " not in plan or "token" not in plan[plan.index("Sort ") :].split("\n")[0])
