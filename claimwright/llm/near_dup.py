@@ -8,8 +8,10 @@ its node at each depth, if their signatures agree enough. Links record the depth
 shared prefix; prefixes are then shortened from the longest until the estimated recall
 of similar pairs reaches the target.
 
-Links only gather texts into candidate groups. In a group every pair is verified on
-the exact shingle sets, block against block, so no group is held in one task, no pair
+Links only gather texts into candidate groups. A group of more than one block, such as
+the pages of a site around one frame, is first cut by prefix filtering: similar texts share
+one of their rarest shingles, so texts that share none of them part without losing a link. In a
+group every pair is verified on the exact shingle sets, block against block, so no group is held in one task, no pair
 is written, and what leaves a task is linear in its texts: link counts and a spanning
 forest of the true links.
 
@@ -38,6 +40,8 @@ SALTS = 16
 #: Signatures that agree less than this far below the threshold are no candidates: at
 #: 96 values seven standard errors.
 SLACK = 0.3
+#: Counters of the sketch that orders shingles from rare to frequent.
+COUNTERS = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 32, (2, VALUES), np.uint64).astype(np.uint32) | np.uint32(1)
@@ -241,6 +245,62 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the shingles of a task fall on each counter of the sketch."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+        total += np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    for low in range(0, len(at), 1 << 16):
+        part = at[low : low + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["counter", "n"])
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles, so many that similar sets have one of them in common.
+
+    Sets of Jaccard similarity ``s`` share ``s n`` shingles of each, so in any one order of all
+    shingles their first ``n - ceil(s n) + 1`` meet. Counts only make the order a selective one.
+    """
+    n = len(shingles)
+    keep = n - int(np.ceil(similarity * n - 1e-6)) + 1
+    return shingles[np.lexsort((shingles, counts[(shingles >> np.uint64(44)).astype(np.int64)]))[:keep]]
+
+
+def _rare(counts, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                sets = [rarest(np.frombuffer(s, np.uint64), counts.value, similarity) for s in part.column(2).to_pylist()]
+                size = [len(s) for s in sets]
+                root = np.repeat(part.column(1).to_numpy().view(np.uint64), size)
+                token = textbytes.mix(np.concatenate(sets) ^ root)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column(0).to_numpy(), size)), pa.array(token.view(np.int64))], ["vertex", "token"]
+                )
+
+    return run
+
+
+def split_groups(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(vertex, root)``: groups cut into ones whose texts share rare shingles; lone texts go.
+
+    ``sets`` holds ``vertex, root, shingles``. Similar texts of a group stay together. What
+    is sent is a sketch of ``COUNTERS`` counts; a shingle's texts meet in partial minima only.
+    """
+    context = sets.sparkSession.sparkContext
+    counts = np.zeros(COUNTERS, np.int64)
+    seen = sets.select("shingles").mapInArrow(_counted, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
+    known = seen.where("n > 1").toArrow()
+    counts[known.column("counter").to_numpy()] = known.column("n").to_numpy()
+    rows = settle(sets.select("vertex", "root", "shingles").mapInArrow(_rare(context.broadcast(counts), similarity), "vertex bigint, token bigint"))
+    shared = rows.groupBy("token").agg(F.min("vertex").alias("v"), F.max("vertex").alias("last")).where("v < last").select("token", "v")
+    dealt = rows.withColumn("__salt", F.pmod("vertex", F.lit(SALTS)).cast("int"))
+    return components(dealt.join(salted(shared, SALTS), ["token", "__salt"]).select(F.col("vertex").alias("u"), "v"))
+
+
 def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
     """Which pairs of shingle sets have at least that Jaccard similarity."""
     n = len(left)
@@ -350,15 +410,25 @@ def near_duplicates(
     links = settle(trie_links(first.select("vertex", "path", "marks"), similarity))
     depth = choose_depth(links, similarity, target_recall)
     groups = settle(components(links.where(F.col("depth") >= depth).select("u", "v")))
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = settle(groups.join(sizes, "root").join(texts, "vertex"))
-
-    # Only texts of candidate groups are cut into shingles again.
-    filter_ = bloom.build(members.select(F.xxhash64("rep").alias("key")), "key", bloom_blocks)
-    maybe = bloom.maybe_listed(read.withColumn("key", F.xxhash64("id")), "key", filter_, bloom_blocks).where("__maybe")
-    sets = maybe.select("id", "text").mapInArrow(_sets, f"id {id_type}, vertex bigint, shingles binary")
-    member = members.select(F.col("vertex").alias("__vertex"), "rep", "root", "copies", "blocks")
-    joined = sets.join(member, (F.col("vertex") == F.col("__vertex")) & F.col("id").eqNullSafe(F.col("rep")))
+    size = groups.groupBy("root").agg(F.count("*").alias("size"))
+    members = settle(groups.join(size, "root").join(texts, "vertex"))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """The shingles of candidates: only their texts are cut again."""
+        filter_ = bloom.build(some.select(F.xxhash64("rep").alias("key")), "key", bloom_blocks)
+        maybe = bloom.maybe_listed(read.withColumn("key", F.xxhash64("id")), "key", filter_, bloom_blocks).where("__maybe")
+        sets = maybe.select("id", "text").mapInArrow(_sets, f"id {id_type}, vertex bigint, shingles binary")
+        member = some.withColumnRenamed("vertex", "__vertex")
+        return sets.join(member, (F.col("vertex") == F.col("__vertex")) & F.col("id").eqNullSafe(F.col("rep")))
+
+    large = members.where(F.col("size") > block)
+    if not large.isEmpty():
+        parts = split_groups(settle(sets_of(large).select("vertex", "root", "shingles")), similarity)
+        size = parts.groupBy("root").agg(F.count("*").alias("size"))
+        small = members.where(F.col("size") <= block)
+        members = settle(small.unionByName(parts.join(size, "root").join(texts, "vertex")))
+    members = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    joined = sets_of(members)
     placed = joined.select("root", "vertex", "copies", "shingles", "blocks", F.pmod(F.xxhash64("vertex"), "blocks").cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = placed.withColumn("__other", other).select(

@@ -198,6 +198,36 @@ def test_near_copies_in_scripts_without_spaces_and_with_typographic_marks(docs_o
         (1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 0, 0), (4, 4, 2, 1), (5, 4, 2, 1), (6, 4, 2, 1), (7, 7, 1, 0), (8, 7, 1, 0)]
 
 
+def test_rarest_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        size = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.92], rng.integers(0, 1 << 62, int(rng.integers(0, 8))).astype(np.uint64)]))
+        counts = rng.integers(0, 4, near_dup.COUNTERS)
+        common = len(np.intersect1d(a, b))
+        if common and common >= 0.8 * (len(a) + len(b) - common):
+            assert len(np.intersect1d(near_dup.rarest(a, counts, 0.8), near_dup.rarest(b, counts, 0.8)))
+
+
+def test_pages_around_one_frame_part_without_losing_a_link(spark, docs_of):
+    rng = random.Random(11)
+    frame, rows = [f"f{k}" for k in range(130)], []
+    for i in range(1500):
+        own = [f"p{i}x{k}" for k in range(70)]
+        rows.append((i, " ".join(frame + own)))
+        if i % 15 == 0:
+            own[rng.randrange(70)] = "changed"
+            rows.append((10_000 + i, " ".join(frame + own)))
+    got = {r[0]: r[1:] for r in result(near_dup.near_duplicates(docs_of(rows), block=64))}
+    for i in range(1500):
+        assert got[i] == ((i, 1, 1) if i % 15 == 0 else (i, 0, 0))
+        assert i % 15 or got[10_000 + i] == (i, 1, 1)
+    sets = [(int(k), 5, near_dup.Shingles(*textbytes.joined(pa.array([t]))).hash.tobytes()) for k, t in rows]
+    parts = near_dup.split_groups(spark.createDataFrame(sets, "vertex bigint, root bigint, shingles binary"), 0.8).collect()
+    assert {(r["vertex"], r["root"]) for r in parts} == {(k, k % 10_000) for k, _ in rows if k % 10_000 % 15 == 0}
+
+
 def test_empty_table_and_long_texts(docs_of):
     assert near_dup.near_duplicates(docs_of([])).count() == 0
     long = " ".join(f"w{k}" for k in range(30000))
