@@ -7,6 +7,8 @@ overlapping bands of ``2 (k + 1)`` diagonals, each diagonal in two bands, and on
 bands that reach the bound are verified, by an alignment limited to the band.
 
 Only letters and digits count, case folded, so layout and punctuation cost no edits.
+Items with fewer than ``Q`` of them are found as they are written, but for case and white
+space, between the borders of words.
 Items longer than a window are searched as overlapping windows. The benchmark is the
 query set: it goes to the tasks in blocks of bounded size, each block against all texts.
 """
@@ -28,6 +30,8 @@ ERROR_RATE = 0.1
 WINDOW, STRIDE = 400, 200
 BLOCK_CHARS = 2_000_000
 BITS = 22
+#: Shared q-grams that are counted at once; runs of one letter share very many.
+SLICE = 1 << 21
 
 _FAR = np.int64(1) << np.int64(56)
 _UNIT = np.int64(1) << np.int64(32)
@@ -71,16 +75,25 @@ def budget(m: int, rate: float = ERROR_RATE) -> int:
     return max(0, min(int(rate * m), (m - Q) // Q))
 
 
+def written(text: str) -> str:
+    """The text without white space, in lower case."""
+    return "".join(text.lower().split())
+
+
 class Probes:
     """The windows of one block of items, and an index of their q-grams."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float = ERROR_RATE):
         fold = fold_table()
         self.item, self.codes, self.edits, self.need = [], [], [], []
+        self.short: dict[int, dict[int, list[tuple[object, str]]]] = {}  # by letters, then by hash
         for item, text in items:
             points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
             folded = fold[points]
             folded = folded[folded > 0]
+            if 0 < len(folded) < Q:
+                key = int(gram_hashes(np.pad(folded, (0, Q - len(folded))))[0])
+                self.short.setdefault(len(folded), {}).setdefault(key, []).append((item, written(text)))
             starts = [0] if len(folded) <= WINDOW else [*range(0, len(folded) - WINDOW, STRIDE), len(folded) - WINDOW]
             for start in starts:
                 part = folded[start : start + WINDOW]
@@ -119,25 +132,112 @@ def candidates(probes: Probes, codes: np.ndarray, first: np.ndarray) -> np.ndarr
     many = probes.first[slot + 1] - probes.first[slot]
     if not many.sum():
         return none
-    entry = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(probes.first[slot], many)
-    probe = probes.probe[entry]
-    text = np.repeat(text, many)
-    diagonal = np.repeat(at, many) - first[text] - probes.place[entry]
+    size = len(probes.codes)
+
+    def slices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs ``text * size + probe`` and diagonals of the shared q-grams, so many at a time."""
+        ends = np.cumsum(many)
+        cuts = np.searchsorted(ends, np.arange(0, ends[-1], SLICE), "right")
+        for low, high in zip(cuts, [*cuts[1:], len(many)]):
+            here = many[low:high]
+            run = np.arange(int(here.sum())) - np.repeat(np.cumsum(here) - here, here)
+            entry = run + np.repeat(probes.first[slot[low:high]], here)
+            own = np.repeat(text[low:high], here)
+            yield own * size + probes.probe[entry], np.repeat(at[low:high], here) - first[own] - probes.place[entry]
+
     # A pair of text and probe with too few in all needs no bands.
-    pair = text * len(probes.codes) + probe
-    known, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-    enough = (count >= probes.need[known % len(probes.codes)])[inverse]
-    pair, probe, diagonal = pair[enough], probe[enough], diagonal[enough]
-    if not len(pair):
+    pairs, count = _total([_counts(pair) for pair, _ in slices()])
+    pairs = pairs[count >= probes.need[pairs % size]]
+    if not len(pairs):
         return none
-    band = diagonal // (probes.edits[probe] + 1)
-    low = int(band.min()) - 1
-    span = int(band.max()) - low + 1
-    key = pair * span + (band - low)
-    known, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-    pair, band = known // span, known % span + low
-    reached = count >= probes.need[pair % len(probes.codes)]
-    return np.stack([pair // len(probes.codes), pair % len(probes.codes), band], 1)[reached]
+    # Diagonals start at one less than the longest window before the text.
+    low = -WINDOW - 1
+    span = int(np.diff(first).max()) + WINDOW + 3
+    counted = []
+    for pair, diagonal in slices():
+        spot = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        enough = pairs[spot] == pair
+        spot, pair, diagonal = spot[enough], pair[enough], diagonal[enough]
+        key = spot * span + (diagonal // (probes.edits[pair % size] + 1) - low)
+        counted.append(_counts(key))
+    key, count = _total(counted)
+    known, count = _total([(key, count), (key - 1, count)])
+    pair, band = pairs[known // span], known % span + low
+    reached = count >= probes.need[pair % size]
+    return np.stack([pair // size, pair % size, band], 1)[reached]
+
+
+def _counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and their counts; close keys are counted without a sort."""
+    if not len(keys) or int(keys.max()) - int(keys.min()) > 4 * len(keys):
+        return np.unique(keys, return_counts=True)
+    low = keys.min()
+    counts = np.bincount(keys - low)
+    known = np.flatnonzero(counts)
+    return known + low, counts[known]
+
+
+def _total(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal keys added up, keys ascending."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    known, inverse = np.unique(keys, return_inverse=True)
+    return known, np.bincount(inverse, counts).astype(np.int64)
+
+
+def short_matches(
+    probes: Probes, points: np.ndarray, offsets: np.ndarray, codes: np.ndarray, places: np.ndarray, first: np.ndarray
+) -> Iterator[tuple[int, object, int, int, int]]:
+    """``(text, item, start, end, letters)``: where each short item first stands in each text."""
+    if not probes.short or not len(codes):
+        return
+    owner = np.searchsorted(first, np.arange(len(codes)), "right") - 1
+    opens = np.ones(len(codes) + 1, bool)  # a word begins here: something else, or another text, before it
+    opens[1:-1] = (np.diff(places) > 1) | (np.diff(owner) > 0)
+    for m, by_hash in probes.short.items():
+        n = len(codes) - m + 1
+        at = np.flatnonzero(opens[:n] & opens[m:]) if n > 0 else np.zeros(0, np.int64)
+        at = at[owner[at] == owner[at + m - 1]]
+        keys = np.array(sorted(by_hash), np.uint64)
+        done = set()
+        for low in range(0, len(at), SLICE // Q):
+            here = at[low : low + SLICE // Q]
+            grams = np.zeros((len(here), Q), np.uint32)
+            grams[:, :m] = codes[here[:, None] + np.arange(m)]
+            h = gram_hashes(grams.ravel())[::Q] if len(here) else np.zeros(0, np.uint64)
+            slot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            for k in np.flatnonzero(keys[slot] == h):
+                t, start, end = int(owner[here[k]]), int(places[here[k]]), int(places[here[k] + m - 1]) + 1
+                for number, (item, letters) in enumerate(by_hash[int(h[k])]):
+                    if (t, int(h[k]), number) in done:
+                        continue
+                    if _stands(points, int(offsets[t]), int(offsets[t + 1]), start, end, letters):
+                        done.add((t, int(h[k]), number))
+                        yield t, item, start - int(offsets[t]), end - int(offsets[t]), m
+
+
+def _stands(points: np.ndarray, low: int, high: int, start: int, end: int, letters: str) -> bool:
+    """Whether the text at ``start`` is written like the item, marks around its letters included."""
+    fold = fold_table()
+    lead = next((k for k, c in enumerate(letters) if fold[ord(c)]), 0)
+    tail = next((k for k, c in enumerate(reversed(letters)) if fold[ord(c)]), 0)
+
+    def around(step: int) -> str:
+        """Enough written characters before the place (-1) or after it (1)."""
+        reach = len(letters)
+        while True:
+            a, b = (max(low, start - reach), start) if step < 0 else (end, min(high, end + reach))
+            found = written(points[a:b].tobytes().decode("utf-32-le", "replace"))
+            if len(found) >= len(letters) or a == low or b == high:
+                return found
+            reach *= 2
+
+    part = points[start:end].tobytes().decode("utf-32-le", "replace")
+    inner = letters[lead : len(letters) - tail]
+    if written(part) != inner:
+        return False
+    return (not lead or around(-1).endswith(letters[:lead])) and (not tail or around(1).startswith(letters[len(letters) - tail :]))
 
 
 def align(pattern: np.ndarray, edits: int, texts: list[np.ndarray], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,8 +291,13 @@ def scan(probes: Probes, texts: pa.Array, slots: int = 256) -> Iterator[tuple[in
         for probe in np.unique(found[:, 1]):
             own = found[found[:, 1] == probe]
             k = int(probes.edits[probe])
+            sure: set[int] = set()  # texts in which it was found without an edit
             for at in range(0, len(own), slots):
                 part = own[at : at + slots]
+                # Bands ascend, so a later one holds no earlier match.
+                part = part[[int(t) not in sure for t in part[:, 0]]] if sure else part
+                if not len(part):
+                    continue
                 m = len(probes.codes[probe])
                 starts = part[:, 2] * (k + 1)
                 cut = np.maximum(starts - k - 1, 0)
@@ -206,6 +311,10 @@ def scan(probes: Probes, texts: pa.Array, slots: int = 256) -> Iterator[tuple[in
                         row = (int(e), int(places[first[t] + c + b] - offsets[t]), int(places[first[t] + c + z - 1] + 1 - offsets[t]))
                         if row < best.get((int(t), int(probe)), (k + 1,)):
                             best[int(t), int(probe)] = row
+                        if e == 0:
+                            sure.add(int(t))
+        for t, item, start, end, m in short_matches(probes, points, offsets, codes, places, first):
+            yield low + t, item, start, end, 0, m
         for (t, probe), (edits, start, end) in best.items():
             yield low + t, probes.item[probe], start, end, edits, len(probes.codes[probe])
 
@@ -237,7 +346,8 @@ def find_leaks(
     ``start`` and ``end`` are code points of the text, end exclusive; of an item's
     matches the one with the fewest edits, then the first, is returned. At most
     ``error_rate`` of the item's letters and digits are edited. Items with fewer than 8
-    letters and digits show no leak and are never found; null texts count as empty.
+    letters and digits are found where they stand between borders of words as they are written,
+    but for case and white space; items without any are never found. Null texts count as empty.
     Repeated rows and items are found each; null ids pass through; extra columns are not
     read; an empty table on either side gives no rows.
     """

@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -93,3 +95,32 @@ def test_frames_and_blocks(spark, docs_of, block):
     assert sorted(((r["doc_id"], r["item_id"], r["edits"]) for r in got), key=repr) == sorted([(1, 0, 0), (1, 0, 0), (None, 1, 0), (4, 2, 0)], key=repr)
     assert D.find_leaks(docs_of([]), bench).count() == 0
     assert D.find_leaks(docs_of(rows), bench.limit(0)).count() == 0
+
+
+def test_runs_of_one_letter_take_bounded_memory_and_time():
+    probes = D.Probes([(1, "a" * 300), (2, "ab" * 150), (3, "a" * 299 + "b")])
+    texts = pa.array(["a" * 300_000, "clean " * 50, "ab" * 50_000, "a" * 2_000 + "b"])
+    tracemalloc.start()
+    begun = time.perf_counter()
+    got = {(row, item): (start, end, edits) for row, item, start, end, edits, _ in D.scan(probes, texts)}
+    peak, spent = tracemalloc.get_traced_memory()[1], time.perf_counter() - begun
+    tracemalloc.stop()
+    assert got[0, 1] == (0, 300, 0) and got[2, 2] == (0, 300, 0) and got[3, 3] == (1701, 2001, 0) and got[0, 3][2] == 1
+    assert {row for row, _ in got} == {0, 2, 3} and peak < 500e6 and spent < 120
+
+
+def test_slices_count_like_one_pass(monkeypatch):
+    rng = random.Random(9)
+    items = [(k, words(rng, 30)) for k in range(8)] + [(20, "ab" * 60), (21, "a" * 90)]
+    texts = [edited(rng, items[k % 10][1], k % 7) + " " + words(rng, 20) + "ab" * k for k in range(60)]
+    probes = D.Probes(items)
+    whole = list(D.scan(probes, pa.array(texts)))
+    monkeypatch.setattr(D, "SLICE", 64)
+    assert list(D.scan(probes, pa.array(texts))) == whole and len(whole) > 40
+
+
+def test_short_items_are_found_as_written():
+    probes = D.Probes([(1, "2+2=4"), (2, "\u4f60\u597d\u5417?"), (3, "What is"), (4, "(b)"), (5, "?!"), (6, "2+2=4")])
+    texts = ["so 2 + 2 = 4.", "224 and 2+2=45", "x\uff0c\u4f60\u597d\u5417?", "\u4f60\u597d\u5417", "WHAT\n is", "whatis", "b (" + " " * 90 + "B )", "b", "", None]
+    got = sorted((row, item, start, end) for row, item, start, end, *_ in D.scan(probes, pa.array(texts)))
+    assert got == [(0, 1, 3, 12), (0, 6, 3, 12), (2, 2, 2, 5), (4, 3, 0, 8), (5, 3, 0, 6), (6, 4, 93, 94)]
