@@ -3,9 +3,9 @@
 Each stage works on all that its predecessor kept. The filtering stages return the
 columns of ``documents``; the last returns the token ids.
 
-In every stage null and empty texts count as texts without words, a null ``doc_id`` compares
-like a value, repeated rows share one decision, which goes by ``doc_id``, further columns pass
-unread (the last stage drops them), and an empty table gives an empty one.
+In every stage null texts count as empty and a null ``doc_id`` compares like a value; rows of one
+``doc_id`` share one decision, and go if one of them is to go. Further columns pass unread (the
+last stage drops them), and an empty table gives an empty one.
 """
 
 from __future__ import annotations
