@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimwright import constants as K
 from claimwright.functions import labels as L, maths as M
+from claimwright.functions.arrays import let
 
 CHANNEL_ORDER = (("emotion", "em"), ("modality", "mo"), ("negation", "ne"))
 TITLES = {"emotion": "Emotion", "modality": "Modality", "negation": "Negation"}
@@ -80,18 +81,14 @@ def top_subwords(alpha: Column, pieces: Column, real: Column, mask: Column, k: i
 
     Ties go to the earlier slot. The row's arrays are sorted in place, no shuffle.
     """
-    slots = F.transform(
-        F.arrays_zip(alpha.alias("a"), pieces.alias("p"), real.alias("r"), mask.alias("m")),
-        lambda z, i: F.struct(
-            (-z["a"]).alias("w"), i.alias("i"), z["p"].alias("p"), z["r"].alias("r"), z["m"].alias("m")
-        ),
-    )
     special = ["[CLS]", "[SEP]", "[PAD]", "[UNK]"]
     kept = F.filter(
-        slots,
-        lambda z: (z["w"] < 0) & (z["r"] > 0) & (z["m"] > 0) & ~z["p"].isin(special),
+        F.arrays_zip(alpha.alias("a"), pieces.alias("p"), real.alias("r"), mask.alias("m")),
+        lambda z: (-z["a"] < 0) & (z["r"] > 0) & (z["m"] > 0) & ~z["p"].isin(special),
     )
-    best = F.slice(F.array_sort(kept), 1, k)
+    # What is kept keeps its order, so its numbers settle ties as the slots would.
+    ranked = F.transform(kept, lambda z, i: F.struct((-z["a"]).alias("w"), i.alias("i"), z["p"].alias("p")))
+    best = F.slice(F.sort_array(ranked), 1, k)
     return F.transform(
         best,
         lambda z: F.struct(
@@ -101,13 +98,11 @@ def top_subwords(alpha: Column, pieces: Column, real: Column, mask: Column, k: i
 
 
 def format_top_tokens(pairs: Column) -> Column:
-    text = F.array_join(
-        F.transform(
-            pairs, lambda z: F.format_string('"%s" (α=%.2f)', z["token"], z["weight"])
-        ),
-        ", ",
-    )
-    return F.when(F.size(pairs) == 0, K.NO_TOKENS_TEXT).otherwise(text)
+    def text(found: Column) -> Column:
+        lines = F.transform(found, lambda z: F.format_string('"%s" (α=%.2f)', z["token"], z["weight"]))
+        return F.when(F.size(found) == 0, K.NO_TOKENS_TEXT).otherwise(F.array_join(lines, ", "))
+
+    return let(pairs, text)
 
 
 def rationale_with_tokens(

@@ -36,7 +36,8 @@ def cleaned(spark, sf):
 
 
 def kept(spark, sf):
-    return dedup.keep_first(cleaned(spark, sf), "clean_statement", ["row_id"])
+    # Stored, because the texts are looked at twice.
+    return dedup.keep_first(settle(cleaned(spark, sf)), "clean_statement", ["row_id"])
 
 
 # -- filters and projections --------------------------------------------------

@@ -264,10 +264,10 @@ def attention(spark, sf):
     """Words, tags and one attention row per channel of each whole document."""
     rows = B.tokens(spark, sf).select("row_id", F.col("tokens").alias("words"))
     rows = rows.withColumn("tags", C.concept_tags(F.col("words"), B.TEST_LEXICON))
-    strength = F.transform("words", lambda w, i: F.length(w) / 4 + i / 1000)
+    rows = rows.withColumn("strength", F.transform("words", lambda w, i: F.length(w) / 4 + i / 1000))
     return rows.withColumns(
         {
-            short: A.masked_softmax(strength, A.channel_mask(F.col("tags"), channel))
+            short: A.masked_softmax(F.col("strength"), A.channel_mask(F.col("tags"), channel))
             for channel, short in _PAIRS
         }
     )
