@@ -261,16 +261,12 @@ def human_summary(spark, sf):
 
 
 def attention(spark, sf):
-    """Words, tags and one attention row per channel of each whole document."""
+    """Words, tags, and for each channel a mask and one attention row of each whole document."""
     rows = B.tokens(spark, sf).select("row_id", F.col("tokens").alias("words"))
     rows = rows.withColumn("tags", C.concept_tags(F.col("words"), B.TEST_LEXICON))
     rows = rows.withColumn("strength", F.transform("words", lambda w, i: F.length(w) / 4 + i / 1000))
-    return rows.withColumns(
-        {
-            short: A.masked_softmax(F.col("strength"), A.channel_mask(F.col("tags"), channel))
-            for channel, short in _PAIRS
-        }
-    )
+    rows = rows.withColumns({f"in_{short}": A.channel_mask(F.col("tags"), channel) for channel, short in _PAIRS})
+    return rows.withColumns({short: A.masked_softmax(F.col("strength"), F.col(f"in_{short}")) for _, short in _PAIRS})
 
 
 _TAGS = {
@@ -308,13 +304,8 @@ def top_words_by_channel(spark, sf):
 
 
 def _tops(rows):
-    ones = F.transform("words", lambda w: F.lit(1))
-    return {
-        s: rationale.top_subwords(
-            F.col(s), F.col("words"), ones, A.channel_mask(F.col("tags"), channel)
-        )
-        for channel, s in _PAIRS
-    }
+    ones = F.array_repeat(F.lit(1), F.size("words"))
+    return {s: rationale.top_subwords(F.col(s), F.col("words"), ones, F.col(f"in_{s}")) for _, s in _PAIRS}
 
 
 _TOP_SQL = f"""{_ATTENTION_SQL}, best AS (SELECT row_id, channel, token, alpha, row_number() OVER (PARTITION BY row_id, channel ORDER BY alpha DESC, pos) AS nth

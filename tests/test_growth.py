@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from claimwright.functions import text as T
+from claimwright.functions import arrays as A, text as T
 from claimwright.streaming import claims as S
 
 
@@ -48,3 +50,14 @@ def test_contractions_are_found_as_before(spark):
         out = F.regexp_replace(out, rf"(?i)(?<=\p{{L}}){short}(?![{T.WORD}])", full)
     rows = frame.select("x", out.alias("p"), T.expand_contractions(F.col("x")).alias("f")).collect()
     assert [tuple(r) for r in rows if r["p"] != r["f"]] == []
+
+
+def test_softmax_of_odd_rows(spark):
+    rows = [([1.0, 2.0, None, 2.0], [1, 1, 1, 0]), ([], []), (None, [1]), ([5.0], None), ([1.0, 1.0], [1]), ([3.0], [1, 1]), ([9.0, 9.0], [0, None])]
+    frame = spark.createDataFrame(rows, "s array<double>, m array<int>").coalesce(1)
+    shown = frame.select(A.masked_softmax(F.col("s"), F.col("m")).alias("a"))
+    got = [r["a"] for r in shown.collect()]
+    e = np.exp(-1)
+    want = [[e / (1 + e), 1 / (1 + e), 0, 0], [], None, None, [1, 0], [1, 0], [0, 0]]
+    assert all(g == w if not w else g == pytest.approx(w) for g, w in zip(got, want)) and len(got) == len(want)
+    assert "lambda" not in _plan(shown)
