@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from claimwright import constants as K
 from claimwright.functions.arrays import pad
@@ -12,6 +15,8 @@ from claimwright.session import settle
 PAD_ID, UNKNOWN_ID = 0, 1
 HOT_TOKENS = 100_000
 RARE_SALTS = 16
+#: Place of a token that the most frequent ones don't hold, and rows of a batch that are encoded at once.
+_MISSING, _ROWS = -1, 1024
 
 
 def explode_tokens(df: DataFrame, tokens: str, key: str = "row_id", extra: list[str] | None = None) -> DataFrame:
@@ -68,6 +73,81 @@ def vocab_params(vocab: DataFrame, min_count: int = K.VOCAB_MIN_COUNT) -> DataFr
     return size.select(F.inline(entries))
 
 
+def _cuts(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
+def _by_rows(one, *columns: pa.Array) -> pa.Array:
+    """``one`` on some rows of a batch at a time; a batch without rows is one call."""
+    return pa.concat_arrays([one(*(c.slice(k, _ROWS) for c in columns)) for k in range(0, max(len(columns[0]), 1), _ROWS)])
+
+
+def _head_ids(tokens: Column, head: DataFrame) -> Column:
+    """Ids by the tokens of ``head``, and places and spellings of the tokens it does not hold."""
+    known = head.filter(F.col("token").isNotNull()).select("token", "idx").toArrow().combine_chunks()
+    kind = dict(head.dtypes)["idx"]
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(known)
+
+    @F.arrow_udf(f"struct<ids: array<{kind}>, misses: array<struct<pos: int, token: string>>>")
+    def look_up(lists: pa.Array) -> pa.Array:
+        words, numbers = (c.combine_chunks() for c in shared.value.columns)
+        words = words.cast(pa.string())
+
+        def some(part: pa.ListArray) -> pa.StructArray:
+            sizes = pc.fill_null(part.value_lengths(), 0).to_numpy()
+            flat = part.flatten()
+            at = pc.index_in(flat, value_set=words)
+            missing = pc.and_(at.is_null(), flat.is_valid())
+            ids = pc.if_else(missing, pa.scalar(_MISSING, numbers.type), pc.take(numbers, at))
+            holes = np.flatnonzero(missing.to_numpy(zero_copy_only=False))
+            row = np.repeat(np.arange(len(part)), sizes)
+            starts = np.cumsum(sizes) - sizes
+            places = pa.array((holes - starts[row[holes]]).astype(np.int32))
+            misses = pa.StructArray.from_arrays([places, flat.take(pa.array(holes))], ["pos", "token"])
+            lists = [
+                pa.ListArray.from_arrays(_cuts(sizes), ids, mask=part.is_null()),
+                pa.ListArray.from_arrays(_cuts(np.bincount(row[holes], minlength=len(part))), misses),
+            ]
+            return pa.StructArray.from_arrays(lists, ["ids", "misses"])
+
+        return _by_rows(some, lists)
+
+    return look_up(tokens)
+
+
+def _fill(lists: Column, found: Column, kind: str) -> Column:
+    """A row's ids with those ``found`` later put in their places.
+
+    Rows that share a key have several lists, whose ids are ordered by place, then by id.
+    """
+
+    @F.arrow_udf(f"array<{kind}>")
+    def fill(lists: pa.Array, found: pa.Array) -> pa.Array:
+        def ordered(own: list, more: list) -> list:
+            pairs = [(p, x) for ids in own for p, x in enumerate(ids) if x != _MISSING] + [(m["pos"], m["idx"]) for m in more]
+            return [x for _, x in sorted(pairs, key=lambda z: (z[0], z[1] is not None, z[1] or 0))]
+
+        def some(own: pa.ListArray, more: pa.ListArray) -> pa.ListArray:
+            of_type = own.type.value_type
+            counts = own.value_lengths().to_numpy()
+            if (counts > 1).any():
+                return pa.array([ordered(*z) for z in zip(own.to_pylist(), more.to_pylist())], of_type)
+            ids = own.flatten()
+            sizes = np.zeros(len(own), np.int64)
+            sizes[counts == 1] = ids.value_lengths().to_numpy()
+            flat = ids.flatten()
+            values = pc.fill_null(flat, 0).to_numpy().copy()
+            place, idx = more.flatten().flatten()
+            row = np.repeat(np.arange(len(own)), more.value_lengths().to_numpy())
+            values[(np.cumsum(sizes) - sizes)[row] + place.to_numpy()] = idx.to_numpy()
+            null = flat.is_null().to_numpy(zero_copy_only=False)
+            return pa.ListArray.from_arrays(_cuts(sizes), pa.array(values, of_type.value_type, mask=null)).cast(of_type)
+
+        return _by_rows(some, lists, found)
+
+    return fill(lists, found)
+
+
 def encode_tokens(
     df: DataFrame,
     vocab: DataFrame,
@@ -79,35 +159,28 @@ def encode_tokens(
     """``(row_id, indices)``: ids of the first ``length`` tokens, unknown 1, padded with 0.
 
     Ids follow frequency, so the ``hot`` most frequent tokens are those with the
-    smallest ids: that part has a fixed size and is broadcast. Only tokens it
-    does not hold are shuffled to meet the rest of the vocabulary, dealt out over
-    salts. An empty list and a null token keep their places.
+    smallest ids: that part has a fixed size and is sent to all tasks, which look
+    it up inside the rows. Only tokens it does not hold become rows of their own, which
+    are shuffled to meet the rest of the vocabulary, dealt out over salts, and then their
+    row. An empty list and a null token keep their places.
     """
     cut = df.select(key, F.slice(tokens, 1, length).alias("_t"))
-    long = cut.select(key, F.posexplode_outer("_t").alias("pos", "token"))
     head = vocab.filter(F.col("idx") <= hot + 1).select("token", "idx")
     tail = vocab.filter(F.col("idx") > hot + 1).select("token", "idx")
+    kind = dict(vocab.dtypes)["idx"]
     # Stored once and narrow: tokens are kept only where the head does not know them.
-    first = settle(
-        long.join(F.broadcast(head), "token", "left").select(
-            key, "pos", "idx", F.when(F.col("idx").isNull(), F.col("token")).alias("token")
-        )
-    )
-    known = first.filter(F.col("token").isNull())  # with null tokens, whose id stays null
+    first = settle(cut.select(key, _head_ids(F.col("_t"), head).alias("_s")).select(key, "_s.ids", "_s.misses"))
     # A word frequent in these rows may be rare in the vocabulary or missing from it: salted.
     salt = F.pmod(F.xxhash64(key, "pos"), F.lit(RARE_SALTS)).cast("int")
-    rest = first.filter(F.col("token").isNotNull()).drop("idx").withColumn("_salt", salt)
+    rest = first.select(key, F.inline("misses")).withColumn("_salt", salt)
     tail = tail.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(RARE_SALTS - 1))))
     rest = rest.join(tail, ["token", "_salt"], "left").withColumn("idx", F.coalesce("idx", F.lit(UNKNOWN_ID)))
-    ids = known.select(key, "pos", "idx").unionByName(rest.select(key, "pos", "idx"))
+    found = rest.select(key, F.lit(None).cast(f"array<{kind}>").alias("ids"), F.struct("pos", F.col("idx").cast(kind).alias("idx")).alias("_found"))
+    own = first.select(key, "ids", F.lit(None).cast(f"struct<pos: int, idx: {kind}>").alias("_found"))
     # At most ``length`` items per row, so the lists stay small.
-    listed = ids.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "idx")))
-        ).alias("_ids")
-    )
-    values = F.transform("_ids", lambda x: x["idx"])
-    return listed.select(key, pad(values, length, F.lit(PAD_ID)).alias("indices"))
+    listed = own.unionByName(found).groupBy(key).agg(F.collect_list("ids").alias("_lists"), F.collect_list("_found").alias("_more"))
+    values = listed.select(key, _fill(F.col("_lists"), F.col("_more"), kind).alias("_ids"))
+    return values.select(key, pad(F.col("_ids"), length, F.lit(PAD_ID)).alias("indices"))
 
 
 def encode_inline(tokens, vocab: dict[str, int], length: int):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimwright.functions import arrays as A, text as T
+from claimwright.operators import vocab
 from claimwright.streaming import claims as S
 
 
@@ -61,3 +62,15 @@ def test_softmax_of_odd_rows(spark):
     want = [[e / (1 + e), 1 / (1 + e), 0, 0], [], None, None, [1, 0], [1, 0], [0, 0]]
     assert all(g == w if not w else g == pytest.approx(w) for g, w in zip(got, want)) and len(got) == len(want)
     assert "lambda" not in _plan(shown)
+
+
+def test_only_tokens_outside_the_head_become_rows(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(vocab, "settle", lambda df: stored.append(df.cache()) or stored[-1])
+    words = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4), (None, 5)], "token string, idx int")
+    rows = [(1, ["a", "zz", None, "c", "b"]), (2, []), (3, None), (4, ["b", "c", "c", "a", "b", "b", "b"]), (5, ["c", "a"]), (5, ["a", "yy"]), (None, ["a"])]
+    frame = spark.createDataFrame(rows, "row_id int, t array<string>").coalesce(1)
+    got = {r["row_id"]: r["indices"] for r in vocab.encode_tokens(frame, words, "t", 6, hot=2).collect()}
+    assert got == {1: [2, 1, None, 4, 3, 0], 2: [0] * 6, 3: [0] * 6, 4: [3, 4, 4, 2, 3, 3], 5: [2, 4, 1, 2, 0, 0], None: [2, 0, 0, 0, 0, 0]}
+    (first,) = stored
+    assert first.count() == len(rows) and first.select(F.sum(F.size("misses"))).first()[0] == 6
