@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimwright import constants as K
 from claimwright.functions import labels as L
+from claimwright.session import settle
 
 BUCKET_ORDER = (("political", 0), ("political", 1), ("health", 0), ("health", 1))
 
@@ -26,8 +27,8 @@ def good_examples(
 def round_robin(df: DataFrame, n: int = 8, key: str = "row_id") -> DataFrame:
     """``n`` rows taken in turn from the (domain, class) buckets, best score first.
 
-    No bucket can give more than ``n`` rows, so the rank filter comes first and
-    runs before the shuffle.
+    No bucket can give more than ``n`` rows. Keys and scores alone are sorted to find
+    theirs; texts are read for the rows of these few keys, which are then ranked again.
     """
     domain = F.when(F.col("has_meta") == 1, "political").otherwise("health")
     turn = F.coalesce(
@@ -39,8 +40,11 @@ def round_robin(df: DataFrame, n: int = 8, key: str = "row_id") -> DataFrame:
     best = Window.partitionBy("domain", "label").orderBy(
         F.desc(F.greatest("em", "mo", "ne")), key
     )
+    marked = df.withColumn("domain", domain)
+    narrow = marked.select(key, "domain", "label", "em", "mo", "ne").withColumn("_round", F.row_number().over(best))
+    keys = settle(narrow.filter(F.col("_round") <= n).select(F.col(key).alias("_key")).distinct())
     picked = (
-        df.withColumn("domain", domain)
+        marked.join(F.broadcast(keys), F.col(key).eqNullSafe(F.col("_key")), "left_semi")  # n keys a bucket
         .withColumn("_round", F.row_number().over(best))
         .filter(F.col("_round") <= n)
         .withColumn("_turn", turn)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimwright.functions import arrays as A, text as T
-from claimwright.operators import vocab
+from claimwright.operators import curate, vocab
 from claimwright.streaming import claims as S
 
 
@@ -74,3 +74,18 @@ def test_only_tokens_outside_the_head_become_rows(spark, monkeypatch):
     assert got == {1: [2, 1, None, 4, 3, 0], 2: [0] * 6, 3: [0] * 6, 4: [3, 4, 4, 2, 3, 3], 5: [2, 4, 1, 2, 0, 0], None: [2, 0, 0, 0, 0, 0]}
     (first,) = stored
     assert first.count() == len(rows) and first.select(F.sum(F.size("misses"))).first()[0] == 6
+
+
+def test_examples_are_ranked_without_their_texts(spark):
+    rows = [(k // 2 if k < 20 else None if k == 20 else k, k % 2, k % 3 % 2, k / 50, "text" * k) for k in range(40)]
+    frame = spark.createDataFrame(rows, "row_id int, has_meta int, label int, em double, claim string").withColumns({"mo": F.lit(0.1), "ne": F.lit(0.0)})
+    frame.unionByName(frame).repartition(4).createOrReplaceTempView("examples")
+    picked = curate.round_robin(spark.table("examples"), 6)
+    got = picked.orderBy("example").collect()
+    order = sorted(rows * 2, key=lambda r: (-max(r[3], 0.1), r[0] is not None, r[0] or 0))
+    best = {}
+    for r in order:
+        best.setdefault(("political" if r[1] else "health", r[2]), []).append(r[4])
+    turns = [t for k in range(6) for d, c in curate.BUCKET_ORDER for t in best[d, c][k : k + 1]][:6]
+    assert [r["claim"] for r in got] == turns
+    assert "LeftSemi" in _optimised(picked)
