@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimwright.functions import arrays as A, text as T
-from claimwright.operators import curate, vocab
+from claimwright.operators import curate, linear, vocab
 from claimwright.streaming import claims as S
 
 
@@ -89,3 +89,15 @@ def test_examples_are_ranked_without_their_texts(spark):
     turns = [t for k in range(6) for d, c in curate.BUCKET_ORDER for t in best[d, c][k : k + 1]][:6]
     assert [r["claim"] for r in got] == turns
     assert "LeftSemi" in _optimised(picked)
+
+
+def test_passes_send_one_matrix_a_core(spark, monkeypatch):
+    tasks = []
+    sums = linear._tree_sum
+    monkeypatch.setattr(linear, "_tree_sum", lambda frame, n: tasks.append(n) or sums(frame, n))
+    rows = spark.range(200).select(F.array(F.when(F.col("id") % 2 == 0, "x").otherwise("y")).alias("truncated_tokens"), (F.col("id") % 2).alias("label"), F.lit(1.0).alias("w"))
+    models = linear.fit_models(rows.repartition(30), [linear.Setting("a", 0.1, "w")], meta=None, iterations=3)
+    assert max(tasks) <= spark.sparkContext.defaultParallelism < 30
+    # Scores need no other column in Python, so one that is not asked for is not even computed.
+    scored = linear.margins(models, rows.withColumn("text", F.lit("claim")), meta=None)
+    assert "claim" not in _optimised(scored.select("label", "margins"))
