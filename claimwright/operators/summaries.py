@@ -110,8 +110,13 @@ def truncation_summary(df: DataFrame, tokens: str, lengths: list[int] | None = N
 def concept_summary(df: DataFrame, codes: str, by: list[str] | None = None) -> DataFrame:
     """Cue and scope counts with their shares of all tokens, optionally per group."""
     counters = C.concept_counters(F.col(codes))
-    base = df.select(*(by or []), *[c.alias(name) for name, c in counters.items()])
-    sums = base.groupBy(*(by or [])).agg(
+    return concept_totals(df.select(*(by or []), *[c.alias(name) for name, c in counters.items()]), by)
+
+
+def concept_totals(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The same of rows that hold their counters already."""
+    counters = [c for c in df.columns if c.endswith("_tokens") and c not in (by or [])]
+    sums = df.groupBy(*(by or [])).agg(
         F.count("*").alias("total_samples"),
         *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counters],
     )

@@ -33,6 +33,11 @@ def tagged(claims: DataFrame, text: str = "statement", lexicon: C.Lexicon | None
     return cleaned.select(EVENT_TIME, F.md5("_clean").alias("text_key"), C.concept_codes(T.tokenize(F.col("_clean")), lexicon).alias("codes"))
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """The counters of each row in place of its codes, which are as long as its text."""
+    return rows.select(*[c for c in rows.columns if c != "codes"], *[c.alias(name) for name, c in C.concept_counters(F.col("codes")).items()])
+
+
 def _seconds(spark: SparkSession, span: str) -> int:
     """The length of a span such as ``90 minutes``; months have none."""
     january, february = F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(31 * 86400))
@@ -43,7 +48,7 @@ def _seconds(spark: SparkSession, span: str) -> int:
 
 
 def once_per_window(rows: DataFrame, window: str, delay: str) -> DataFrame:
-    """One row for each text in each window: ``window, text_key, codes``.
+    """One row for each text in each window: ``window, text_key`` and what else the rows hold.
 
     A repeat is recognised as long as its window is open. That needs the delay to be no
     shorter than the window: a text's hash is kept for the delay after its own time.
@@ -54,7 +59,7 @@ def once_per_window(rows: DataFrame, window: str, delay: str) -> DataFrame:
     # A plain number, since a stream may have one event-time column only.
     number = F.floor(F.unix_micros(EVENT_TIME) / (width * 1_000_000))
     once = rows.withWatermark(EVENT_TIME, delay).withColumn("_number", number).dropDuplicatesWithinWatermark(["_number", "text_key"])
-    return once.select(F.window(EVENT_TIME, window).alias("window"), "text_key", "codes")
+    return once.select(F.window(EVENT_TIME, window).alias("window"), *[c for c in rows.columns if c != EVENT_TIME])
 
 
 def _named(rates: DataFrame) -> DataFrame:
@@ -67,15 +72,16 @@ def stream_rates(claims: DataFrame, window: str, delay: str, text: str = "statem
     A window is closed when the watermark, the latest time seen less ``delay``, reaches its
     end. Rows older than the watermark are late and left out.
     """
-    once = once_per_window(tagged(claims, text, lexicon), window, delay)
-    return _named(summaries.concept_summary(once, "codes", by=["window"]))
+    once = once_per_window(counted(tagged(claims, text, lexicon)), window, delay)
+    return _named(summaries.concept_totals(once, by=["window"]))
 
 
 def window_rates(claims: DataFrame, window: str, delay: str, text: str = "statement", lexicon: C.Lexicon | None = None) -> DataFrame:
     """The same of a table: windows that a stream over its rows, none of them late, would have closed."""
-    rows = tagged(claims, text, lexicon).withColumn("window", F.window(EVENT_TIME, window))
-    once = rows.groupBy("window", "text_key").agg(F.first("codes").alias("codes"))
-    rates = _named(summaries.concept_summary(once, "codes", by=["window"]))
+    rows = counted(tagged(claims, text, lexicon)).withColumn("window", F.window(EVENT_TIME, window))
+    names = [c for c in rows.columns if c.endswith("_tokens")]
+    once = rows.groupBy("window", "text_key").agg(*[F.first(c).alias(c) for c in names])
+    rates = _named(summaries.concept_totals(once, by=["window"]))
     latest = claims.where(F.col(text).isNotNull()).agg(F.max(EVENT_TIME).alias("_latest"))
     closed: Column = F.col("window_end") <= F.col("_latest") - F.expr(f"interval {delay}")
     return rates.join(F.broadcast(latest), closed).drop("_latest")

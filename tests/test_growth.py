@@ -101,3 +101,10 @@ def test_passes_send_one_matrix_a_core(spark, monkeypatch):
     # Scores need no other column in Python, so one that is not asked for is not even computed.
     scored = linear.margins(models, rows.withColumn("text", F.lit("claim")), meta=None)
     assert "claim" not in _optimised(scored.select("label", "margins"))
+
+
+def test_streams_move_counters_and_no_codes(spark):
+    frame = spark.createDataFrame([(None, "a")], "event_time timestamp, statement string")
+    rates = S.window_rates(frame, "1 hour", "2 hours")
+    exchanged = [line for line in _plan(rates).splitlines() if "text_key" in line and "HashAggregate" in line]
+    assert exchanged and all("codes" not in line for line in exchanged)
