@@ -91,3 +91,14 @@ def test_plain_folders_belong_to_the_default_file_system(spark, monkeypatch):
     with pytest.raises(ValueError, match="shared"):
         token_store.qualified(spark, "/shared/x")
     assert token_store.qualified(spark, "file:///shared/x") == "file:///shared/x"
+
+
+def test_query_runs_where_the_shared_folder_is_named_by_a_plain_path(spark, docs_of, tmp_path, monkeypatch):
+    from claimwright import session
+    from claimwright.llm.queries import QUERIES
+
+    docs_of([(1, "one two"), (2, "next"), (None, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert QUERIES["op3_token_store"](spark, str(tmp_path)).count() == 3
+    assert [p.suffix for p in (tmp_path / "shared/claimwright").glob("token-store-*/ids-*")].count(".bin") >= 1
