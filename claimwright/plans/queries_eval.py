@@ -7,6 +7,7 @@ from claimwright.functions import arrays as A, concepts as C, labels as L, maths
 from claimwright.operators import curate, metrics, rationale, runs
 from claimwright.plans import bindings as B
 from claimwright.plans.registry import query
+from claimwright.session import settle
 
 # -- predictions and metrics ---------------------------------------------------------
 
@@ -282,6 +283,10 @@ raw AS (SELECT row_id, pos, token, channel, CASE WHEN hit THEN exp(s - max(s) FI
 alphas AS (SELECT *, e / nullif(sum(e) OVER (PARTITION BY row_id, channel), 0) AS alpha FROM raw)"""
 
 
+#: Rows of token lists and attention in an Arrow batch.
+BATCH_ROWS = 1000
+
+
 @query(
     "top_words_by_channel",
     f"""WITH {_ATTENTION_SQL}, best AS (SELECT row_id, channel, trim(token) AS word, max(alpha) AS alpha FROM alphas
@@ -300,7 +305,8 @@ def top_words_by_channel(spark, sf):
         F.inline_outer(F.arrays_zip(F.col("words").alias("word"), F.col("c.alpha").alias("alpha"))),
     ).withColumn("real", F.lit(1))
     top = rationale.top_words_long(long, ["row_id", "channel"])
-    return top.select("row_id", "channel", "nth", "word", F.round("alpha", 5).alias("alpha"))
+    # Stored here, since the aggregate and full batches of lists do not fit an executor together.
+    return settle(top.select("row_id", "channel", "nth", "word", F.round("alpha", 5).alias("alpha")), BATCH_ROWS)
 
 
 def _tops(rows):

@@ -3,11 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from claimwright import session
 from claimwright.functions import arrays as A, text as T
 from claimwright.operators import curate, linear, vocab
+from claimwright.plans import queries_eval
 from claimwright.streaming import claims as S
 
 
@@ -108,3 +111,29 @@ def test_streams_move_counters_and_no_codes(spark):
     rates = S.window_rates(frame, "1 hour", "2 hours")
     exchanged = [line for line in _plan(rates).splitlines() if "text_key" in line and "HashAggregate" in line]
     assert exchanged and all("codes" not in line for line in exchanged)
+
+
+def test_attention_reaches_python_in_small_batches(spark, tmp_path, monkeypatch):
+    @F.arrow_udf("array<double>")
+    def rows_of_batch(scores: pa.Array, mask: pa.Array) -> pa.Array:
+        return pa.array([[float(len(scores))] * n for n in scores.value_lengths().to_pylist()], pa.list_(pa.float64()))
+
+    monkeypatch.setattr(queries_eval.A, "masked_softmax", lambda scores, mask: rows_of_batch(scores, mask))
+    texts = spark.range(8000).selectExpr("id as doc_id", "'the and of' as text", "'en' as lang", "'s' as source", "10L as n_chars")
+    texts.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get(session.ARROW_ROWS)
+    top = queries_eval.top_words_by_channel(spark, str(tmp_path))
+    assert top.count() == 8000 * 3 * 3 and 0 < top.agg(F.max("alpha")).first()[0] <= 1000
+    assert spark.conf.get(session.ARROW_ROWS) == before
+
+
+def test_batches_stay_as_small_as_the_session_wants_them(spark):
+    before = spark.conf.get(session.ARROW_ROWS)
+    try:
+        for own, rows in (("10", "10"), ("5000", "1000"), ("0", "1000")):
+            spark.conf.set(session.ARROW_ROWS, own)
+            with session.arrow_rows(spark, 1000):
+                assert spark.conf.get(session.ARROW_ROWS) == rows
+            assert spark.conf.get(session.ARROW_ROWS) == own
+    finally:
+        spark.conf.set(session.ARROW_ROWS, before)
