@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimwright import session
 from claimwright.functions import arrays as A, text as T
 from claimwright.operators import curate, linear, vocab
-from claimwright.plans import queries_eval
+from claimwright.plans import pipelines, queries_eval, queries_jobs
 from claimwright.streaming import claims as S
 
 
@@ -137,3 +137,32 @@ def test_batches_stay_as_small_as_the_session_wants_them(spark):
             assert spark.conf.get(session.ARROW_ROWS) == own
     finally:
         spark.conf.set(session.ARROW_ROWS, before)
+
+
+def test_encoded_splits_store_texts_and_tokens_once(spark, tmp_path, monkeypatch):
+    stored, settle = [], session.settle
+
+    def recorded(df, *args, **kwargs):
+        stored.append(df.columns)
+        return settle(df, *args, **kwargs)
+
+    for module in (pipelines, queries_jobs):
+        monkeypatch.setattr(module, "settle", recorded)
+    texts = spark.range(60).selectExpr("id as doc_id", "concat('the claim of case', id % 40, ' and more') as text", "'en' as lang", "'s' as source", "10L as n_chars")
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(60).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries_jobs.encoded_splits(spark, str(tmp_path)).collect()
+    assert len(got) == 40 and all(len(r["indices"].split()) == 128 for r in got)
+    assert sum("clean_statement" in c for c in stored) == 1 and sum("tokens" in c for c in stored) == 1
+    assert not any({"statement", "normalized_text", "truncated_tokens"} & set(c) for c in stored)
+    # Tags are still made and stored with the rows they belong to.
+    assert [c for c in stored if "tokens" in c] == [["row_id", "label", "tokens", "concept_tags", "binary_label"]]
+
+
+def test_named_columns_of_a_corpus_are_those_of_the_whole(spark):
+    rows = [(k, f"The claim <b>of</b> case{k % 30} isn't new", "true" if k % 3 else "false", "s") for k in range(50)]
+    raw = spark.createDataFrame(rows, "row_id long, statement string, label string, speaker string")
+    whole = pipelines.political_corpus(raw)
+    some = pipelines.political_corpus(raw, columns=["speaker", "concept_tags"])
+    assert some.columns == ["binary_label", "row_id", "speaker", "concept_tags", "split"]
+    assert sorted(some.collect()) == sorted(whole.select(some.columns).collect()) and some.count() == 30
