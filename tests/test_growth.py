@@ -1,6 +1,7 @@
 """What steps move, sort or send as tables grow, and that the shorter ways give the same."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from claimwright import session
 from claimwright.functions import arrays as A, text as T
-from claimwright.operators import curate, linear, vocab
-from claimwright.plans import pipelines, queries_eval, queries_jobs
+from claimwright.operators import curate, dedup, linear, vocab
+from claimwright.plans import bindings, pipelines, queries_eval, queries_jobs
 from claimwright.streaming import claims as S
 
 
@@ -166,3 +167,32 @@ def test_named_columns_of_a_corpus_are_those_of_the_whole(spark):
     some = pipelines.political_corpus(raw, columns=["speaker", "concept_tags"])
     assert some.columns == ["binary_label", "row_id", "speaker", "concept_tags", "split"]
     assert sorted(some.collect()) == sorted(whole.select(some.columns).collect()) and some.count() == 30
+
+
+@pytest.fixture
+def no_own_broadcasts(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_first_copies_are_kept_without_moving_texts(spark, monkeypatch, no_own_broadcasts):
+    rows = [(5, "a"), (2, "a"), (3, "b"), (4, None), (1, None), (6, "c"), (None, "c"), (7, "d"), (7, "d"), (8, "d")]
+    frame = spark.createDataFrame(rows * 2, "row_id long, t string")
+    want = sorted([(2, "a"), (3, "b"), (1, None), (None, "c"), (7, "d"), (7, "d")] * 2, key=str)
+    kept = dedup.keep_first(frame, "t", ["row_id"])
+    assert re.findall(r"\w+Join", _plan(kept))[0] == "BroadcastHashJoin"  # the one that texts go through
+    assert sorted(map(tuple, kept.collect()), key=str) == want
+    monkeypatch.setattr(dedup, "MAX_GONE", 1)
+    moved = dedup.keep_first(frame, "t", ["row_id"])
+    assert re.findall(r"\w+Join", _plan(moved))[0] == "SortMergeJoin" and sorted(map(tuple, moved.collect()), key=str) == want
+
+
+def test_claims_get_their_labels_without_moving_texts(spark, tmp_path, no_own_broadcasts):
+    texts = spark.range(20).selectExpr("id as doc_id", "'one claim' as text", "'en' as lang", "'s' as source", "10L as n_chars")
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(10).selectExpr("id * 2 as doc_id", "1 as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    claims = bindings.claims(spark, str(tmp_path))
+    assert "SortMergeJoin" not in _plan(claims) and claims.count() == 20 and claims.filter("context = 'en speech'").count() == 10
